@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import langid, mixing, warc
+from strandline.llm import html_text, langid, matroska, mixing, warc
 from strandline.llm.common import shared_dir, table
 
 
@@ -24,6 +24,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.where("record_type = 'response'").select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to").unionByName(full)
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def _remainder(divisor: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
 
@@ -34,12 +38,17 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = matroska.store(table(spark, sf_dir, "documents"))
+    return matroska.restore(stored).withColumnRenamed("id", "doc_id")
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.systematic_mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_warc": op1_warc, "op3_langid": op3_langid, "op8_mix": op8_mix}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_warc": op1_warc, "op2_main_text": op2_main_text, "op3_langid": op3_langid, "op6_matroska": op6_matroska, "op8_mix": op8_mix}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
