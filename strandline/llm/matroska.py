@@ -88,15 +88,15 @@ def mux(payload: bytes, lacing: int = FIXED) -> bytes:
     """A container whose frames are the FRAME-byte pieces of ``payload`` (a positive multiple of FRAME)."""
     if not payload or len(payload) % FRAME:
         raise ValueError("the payload must be a positive multiple of the frame size")
-    frames = len(payload) // FRAME
+    frames, laced = len(payload) // FRAME, 1 if lacing == NO_LACING else LACED
     info = _element(INFO, _uint(TIMESTAMP_SCALE, 1_000_000) + _element(MUXING_APP, b"strandline") + _element(WRITING_APP, b"strandline") + _element(DURATION, struct.pack(">d", float(frames * FRAME_MS))))
     parts, cues = [info, _TRACKS], []
     at = len(info) + len(_TRACKS)
     for first in range(0, frames, CLUSTERED):
         last = min(first + CLUSTERED, frames)
         blocks = [_uint(TIMESTAMP, first * FRAME_MS)]
-        for b in range(first, last, LACED):
-            n = min(LACED, last - b)
+        for b in range(first, last, laced):
+            n = min(laced, last - b)
             kind = NO_LACING if n == 1 else lacing
             head = b"\x81" + struct.pack(">hB", (b - first) * FRAME_MS, 0x80 | kind)
             if kind == FIXED:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import html_text, langid, matroska, mixing, warc
+from strandline.llm import html_text, jaccard_join, langid, matroska, mixing, warc
 from strandline.llm.common import shared_dir, table
 
 
@@ -48,7 +48,11 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_warc": op1_warc, "op2_main_text": op2_main_text, "op3_langid": op3_langid, "op6_matroska": op6_matroska, "op8_mix": op8_mix}
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_warc": op1_warc, "op2_main_text": op2_main_text, "op3_langid": op3_langid, "op6_matroska": op6_matroska, "op8_mix": op8_mix, "op9_jaccard": op9_jaccard}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
