@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import html_text, jaccard_join, langid, matroska, mixing, warc
+from strandline.llm import decontam, html_text, jaccard_join, langid, matroska, mixing, warc
 from strandline.llm.common import shared_dir, table
 
 
@@ -38,6 +38,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = matroska.store(table(spark, sf_dir, "documents"))
     return matroska.restore(stored).withColumnRenamed("id", "doc_id")
@@ -52,7 +56,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_warc": op1_warc, "op2_main_text": op2_main_text, "op3_langid": op3_langid, "op6_matroska": op6_matroska, "op8_mix": op8_mix, "op9_jaccard": op9_jaccard}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_warc": op1_warc, "op2_main_text": op2_main_text, "op3_langid": op3_langid, "op5_decontaminate": op5_decontaminate, "op6_matroska": op6_matroska, "op8_mix": op8_mix, "op9_jaccard": op9_jaccard}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
