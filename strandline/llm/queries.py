@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam, html_text, jaccard_join, langid, matroska, mixing, warc
+from strandline.llm import decontam, html_text, jaccard_join, langid, line_dedup, matroska, mixing, warc
 from strandline.llm.common import shared_dir, table
 
 
@@ -38,6 +38,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,7 +60,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_warc": op1_warc, "op2_main_text": op2_main_text, "op3_langid": op3_langid, "op5_decontaminate": op5_decontaminate, "op6_matroska": op6_matroska, "op8_mix": op8_mix, "op9_jaccard": op9_jaccard}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_warc": op1_warc, "op2_main_text": op2_main_text, "op3_langid": op3_langid, "op4_line_dedup": op4_line_dedup, "op5_decontaminate": op5_decontaminate, "op6_matroska": op6_matroska, "op8_mix": op8_mix, "op9_jaccard": op9_jaccard}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
@@ -67,6 +71,20 @@ SELECT page_id, payload_bytes, payload_digest,
  CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
  CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN kept END AS refers_to
 FROM r""",
+    "op4_line_dedup": r"""
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS no FROM s),
+b AS (SELECT *, length(trim(line, ' ')) > 0 AS solid FROM x),
+n AS (SELECT *, lead(line) OVER w AS line2, lead(no) OVER w AS no2 FROM b WHERE solid WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
+f AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, no) > 1 AS copy1,
+  line2 IS NOT NULL AND row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, no) > 1 AS copy2 FROM n),
+g AS (SELECT *, coalesce(lag(copy2) OVER (PARTITION BY doc_id ORDER BY no), false) AS tail2 FROM f),
+gone AS (SELECT doc_id, no FROM g WHERE (copy1 AND length(line) >= 20) OR copy2 OR tail2
+  UNION SELECT b.doc_id, b.no FROM b JOIN g ON b.doc_id = g.doc_id AND g.copy2 AND b.no > g.no AND b.no < g.no2 WHERE NOT b.solid),
+k AS (SELECT b.*, gone.no IS NOT NULL AS removed FROM b LEFT JOIN gone ON b.doc_id = gone.doc_id AND b.no = gone.no),
+t AS (SELECT doc_id, CASE WHEN bool_or(solid AND NOT removed) OR NOT bool_or(removed) THEN coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT removed), '') ELSE '' END AS text,
+  CAST(count(*) FILTER (WHERE removed) AS INTEGER) AS lines_removed FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(t.text, d.text) AS text, coalesce(t.lines_removed, 0) AS lines_removed FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id""",
     "op8_mix": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
