@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam, html_text, jaccard_join, langid, line_dedup, matroska, mixing, warc
+from strandline.llm import decontam, html_text, jaccard_join, langid, line_dedup, matroska, mixing, toxicity, warc
 from strandline.llm.common import shared_dir, table
 
 
@@ -60,7 +60,13 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_warc": op1_warc, "op2_main_text": op2_main_text, "op3_langid": op3_langid, "op4_line_dedup": op4_line_dedup, "op5_decontaminate": op5_decontaminate, "op6_matroska": op6_matroska, "op8_mix": op8_mix, "op9_jaccard": op9_jaccard}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_remainder(3) == 1, F.lit(False)))
+    model = toxicity.learn(docs.where("not held_out"), table(spark, sf_dir, "labels"), docs)
+    return toxicity.score(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_warc": op1_warc, "op2_main_text": op2_main_text, "op3_langid": op3_langid, "op4_line_dedup": op4_line_dedup, "op5_decontaminate": op5_decontaminate, "op6_matroska": op6_matroska, "op8_mix": op8_mix, "op9_jaccard": op9_jaccard, "op10_toxicity": op10_toxicity}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
