@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontam, html_text, jaccard_join, langid, line_dedup, matroska, mixing, toxicity, warc
+from strandline.llm import compact_windows, decontam, html_text, jaccard_join, langid, line_dedup, matroska, mixing, toxicity, warc
 from strandline.llm.common import shared_dir, table
 
 
@@ -51,6 +51,10 @@ def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.restore(stored).withColumnRenamed("id", "doc_id")
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.systematic_mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -66,7 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_warc": op1_warc, "op2_main_text": op2_main_text, "op3_langid": op3_langid, "op4_line_dedup": op4_line_dedup, "op5_decontaminate": op5_decontaminate, "op6_matroska": op6_matroska, "op8_mix": op8_mix, "op9_jaccard": op9_jaccard, "op10_toxicity": op10_toxicity}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_warc": op1_warc, "op2_main_text": op2_main_text, "op3_langid": op3_langid, "op4_line_dedup": op4_line_dedup, "op5_decontaminate": op5_decontaminate, "op6_matroska": op6_matroska, "op7_compact_windows": op7_compact_windows, "op8_mix": op8_mix, "op9_jaccard": op9_jaccard, "op10_toxicity": op10_toxicity}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
