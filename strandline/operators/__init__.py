@@ -1 +1 @@
-
+"""Relational operators on sequences, intervals and alignments."""
