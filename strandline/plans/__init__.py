@@ -1 +1 @@
-
+"""Whole workflows."""
