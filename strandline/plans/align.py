@@ -53,7 +53,7 @@ def candidates(reference: DataFrame, queries: DataFrame, options: Options = Opti
 
 def align(reference: DataFrame, queries: DataFrame, options: Options = Options(), seeds: DataFrame | None = None, selection: str = "linked") -> DataFrame:  # noqa: B008
     """Alignments with primary. selection: ``all`` candidates, ``one_to_one`` ones, or those ``linked`` along the main path."""
-    found = candidates(reference, queries, options, seeds)
+    found = candidates(reference, queries, options, seeds).persist()  # read once for each axis; made again if an executor is lost
     if selection == "all":
         return with_primary(found)
     if selection not in ("one_to_one", "linked"):

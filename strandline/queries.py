@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import cigar, scoring, sequence
-from strandline.operators import intervals, seeds
+from strandline.operators import chain, intervals, seeds, select
+from strandline.plans import align as plan
 from strandline.sources import fasta, index
 
 K = 20
@@ -235,6 +236,26 @@ def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return loaded.manifest.join(per_record, "seq_id", "left").select("name", "length", "fingerprint", F.coalesce("kmers", F.lit(0)).alias("kmers"))
 
 
+def best_chains(spark: SparkSession, d: str) -> DataFrame:
+    return chain.chains(_seeds("fast")(spark, d)).drop("seeds")
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("cigar", cigar.to_string(F.col("cigar")))
+
+
+def anchors_linked(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(plan.candidates(references(spark, d), query_sequences(spark, d)))
+
+
+def bilateral_selection(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(select.bilateral(plan.candidates(references(spark, d), query_sequences(spark, d))))
+
+
+def align_linked(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(plan.align(references(spark, d), query_sequences(spark, d)))
+
+
 def _shared(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     return configured or tempfile.mkdtemp(prefix="strandline-")
@@ -279,6 +300,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "overlap_violations": overlap_violations,
     "fasta_roundtrip": fasta_roundtrip,
     "index_roundtrip": index_roundtrip,
+    "best_chains": best_chains,
+    "anchors_linked": anchors_linked,
+    "bilateral_selection": bilateral_selection,
+    "align_linked": align_linked,
 }
 
 _FOLD = "translate(regexp_replace({0}, '[^A-Za-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', '" + ("ACGT" * 7)[:26] * 2 + "')"
