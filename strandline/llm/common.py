@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +23,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder now and go on from there."""
+    """Write ``df`` to the shared checkpoint folder now and go on from there.
+
+    What only ``df`` needed (its shuffles, and checkpoints that nothing refers to any more) is then free to go: Spark
+    removes it once the driver's JVM has collected its garbage, which is asked for here, as a chain of steps would
+    otherwise fill the executors' disks before it happens by itself.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``cut``, for large tables: written as compressed Parquet to the shared folder. Its path too, for ``removed`` once nothing reads it any more."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

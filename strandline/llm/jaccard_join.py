@@ -34,8 +34,10 @@ N = 3
 HUNDREDTHS = 90
 #: A block spans a little more than the sizes that can be linked, so that those lie one block apart at most.
 BLOCK_STEP = 1.000001
-#: Bits of a parity map, in words of 64.
-MAP_WORDS = 8
+#: Words of 64 bits in the parity map that index entries carry, and most of them in that which pairs are looked at with first. A
+#: set's own map has a power of two of them, for 4 bits a member or more.
+FOLDED_WORDS = 4
+MIDDLE_WORDS = 16
 #: Documents to be compared are found by a broadcast of their ids up to this number (16 MB), else by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -60,16 +62,25 @@ def _prefix(n: int, hundredths: int) -> int:
     return n - -(-n * hundredths // 100) + 1
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)])))
+
+
 def _summaries(n: int, hundredths: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.num_rows
-            size, key, prefix = np.zeros(rows, np.int64), np.zeros(rows, np.int64), [np.zeros(0, np.int64)] * rows
+            size, key, none = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(0, np.int64)
+            prefix, maps, middle, small = [none] * rows, [none] * rows, [none] * rows, np.zeros((rows, FOLDED_WORDS), np.int64)
             for row, s in _sets(batch, n):
                 size[row], key[row], prefix[row] = len(s), _key(s), s[: _prefix(len(s), hundredths)].view(np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size), pa.array(key), lists], ["id", "n", "key", "prefix"])
+                words = max(FOLDED_WORDS, 1 << (len(s) // 16).bit_length())
+                place = (textops.mix(s + np.uint64(991)) & np.uint64(64 * words - 1)).astype(np.int64)
+                maps[row] = np.packbits(np.bincount(place, minlength=64 * words) & 1 == 1).view(np.int64)
+                middle[row] = np.bitwise_xor.reduce(maps[row].reshape(-1, min(words, MIDDLE_WORDS)), 0)
+                small[row] = np.bitwise_xor.reduce(maps[row].reshape(-1, FOLDED_WORDS), 0)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size), pa.array(key), _lists(prefix), _lists(maps), _lists(middle), _lists(list(small))], ["id", "n", "key", "prefix", "map", "middle", "small"])
 
     return run
 
@@ -78,16 +89,12 @@ def _whole(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column("key").to_pylist()
-            keys, sizes, members, maps = [], [], [], []
+            keys, members = [], []
             for row, s in _sets(batch, n):
                 if _key(s) == wanted[row]:
-                    place = (textops.mix(s + np.uint64(991)) % np.uint64(64 * MAP_WORDS)).astype(np.int64)
-                    bits = np.packbits(np.bincount(place, minlength=64 * MAP_WORDS) % 2 == 1)
                     keys.append(wanted[row])
-                    sizes.append(len(s))
                     members.append(s.tobytes())
-                    maps.append(bits.view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(members, pa.binary()), pa.array(maps, pa.list_(pa.int64()))], ["key", "n", "members", "map"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(members, pa.binary())], ["key", "members"])
 
     return run
 
@@ -108,10 +115,47 @@ def _compare(hundredths: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
+def _near(apart, hundredths: int):
+    """Whether sets of these sizes whose parity maps differ in so many bits can reach the threshold."""
+    least = F.ceil(hundredths * (F.col("a_n") + F.col("b_n")) / F.lit(100 + hundredths))
+    sizes = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * hundredths
+    return sizes & (apart <= F.col("a_n") + F.col("b_n") - 2 * least)
+
+
+def _differing():
+    """In how many bits the whole maps of a pair differ; the longer one is folded to the length of the other, as sizes that can be linked are less than a factor of two apart."""
+    half = lambda m: F.shiftright(F.size(m), 1)
+    halved = lambda m: F.zip_with(F.slice(m, F.lit(1), half(m)), F.slice(m, half(m) + 1, half(m)), lambda x, y: x.bitwiseXOR(y))
+    a, b = F.col("a_map"), F.col("b_map")
+    left, right = F.when(F.size(a) > F.size(b), halved(a)).otherwise(a), F.when(F.size(b) > F.size(a), halved(b)).otherwise(b)
+    return F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
+
+
+def _sharing(hundredths: int):
+    """Whether sets that share the entry at these positions can share enough members."""
+    least = F.ceil(hundredths * (F.col("a_n") + F.col("b_n")) / F.lit(100 + hundredths))
+    return F.least("a_pos", "b_pos") + 1 + F.least(F.col("a_n") - F.col("a_pos") - 1, F.col("b_n") - F.col("b_pos") - 1) >= least
+
+
+def _mapped(pairs: DataFrame, maps: DataFrame, hundredths: int) -> DataFrame:
+    """The pairs (a, a_n, b, b_n) that are possible by their middle maps, and then by their whole ones."""
+    pairs = pairs.where(_near(F.lit(0), hundredths))
+    for which in ("middle", "map"):
+        left = maps.select(F.col("key").alias("a"), F.col(which).alias("a_map"))
+        right = maps.select(F.col("key").alias("b"), F.col(which).alias("b_map"))
+        pairs = cut(pairs.join(left, "a").join(right, "b").where(_near(_differing(), hundredths)).select("a", "a_n", "b", "b_n"))
+    return pairs.select("a", "b")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, n: int, hundredths: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold, by comparing their whole sets."""
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    ids = cut(reps.where("id is not null").join(wanted, "key", "left_semi"))
+    known = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = cut(rows.join(known, "id").mapInArrow(_whole(n), "key long, members binary").dropDuplicates(["key"]))
     left = sets.select(F.col("key").alias("a"), F.col("members").alias("a_members"))
     right = sets.select(F.col("key").alias("b"), F.col("members").alias("b_members"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_compare(hundredths), "a long, b long")
+    return cut(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_compare(hundredths), "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, n: int = N, hundredths: int = HUNDREDTHS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -123,10 +167,12 @@ def jaccard_components(docs: DataFrame, n: int = N, hundredths: int = HUNDREDTHS
     component's id is its smallest id that isn't null. An empty table gives an empty one.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    base = cut(rows.mapInArrow(_summaries(n, hundredths), "id long, n long, key long, prefix array<long>"))
+    base = cut(rows.mapInArrow(_summaries(n, hundredths), "id long, n long, key long, prefix array<long>, map array<long>, middle array<long>, small array<long>"))
     classes = base.where("n > 0").groupBy("key").agg(F.min("id").alias("least"), F.max("n").alias("n"))
     reps = classes.select("key", F.col("least").alias("id"))
-    owners = base.where("n > 0").join(reps.withColumn("rep", F.lit(True)), ["key", "id"], "left_semi").select("key", "n", "prefix").dropDuplicates(["key"])
+    owners = base.where("n > 0").join(reps.withColumn("rep", F.lit(True)), ["key", "id"], "left_semi").select("key", "n", "prefix", "map", "middle", "small").dropDuplicates(["key"])
+    owners = cut(owners)
+    maps = owners.select("key", "map", "middle")
     entries = owners.select("key", "n", F.posexplode("prefix").alias("pos", "token"))
     listed = entries.groupBy("token").agg(F.count("*").alias("listed")).where("listed > 1")
     block = F.floor(F.log(F.col("n").cast("double")) / F.lit(BLOCK_STEP * log(100 / hundredths))).cast("int")
@@ -136,36 +182,27 @@ def jaccard_components(docs: DataFrame, n: int = N, hundredths: int = HUNDREDTHS
     prefix = F.col("n") - F.ceil(F.col("n") * hundredths / F.lit(100)) + 1
     support = shared.groupBy("key").agg((F.count("*") / F.first(prefix)).alias("support"))
     supported = shared.join(support, "key")
-    pivots = supported.groupBy("token", "block").agg(F.max(F.struct("support", "key")).alias("top"), F.count("*").alias("m")).where("m > 1").select("token", "block", F.col("top.key").alias("b"))
-    star = cut(shared.select("token", "block", F.col("key").alias("a")).join(pivots, ["token", "block"]).where("a <> b").select("a", "b").distinct())
+    pivots = supported.groupBy("token", "block").agg(F.max(F.struct("support", "key", "n", "pos")).alias("top"), F.count("*").alias("m")).where("m > 1")
+    pivots = pivots.select("token", "block", F.col("top.key").alias("b"), F.col("top.n").alias("b_n"), F.col("top.pos").alias("b_pos"))
+    own = shared.select("token", "block", F.col("key").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"))
+    star = own.join(pivots, ["token", "block"]).where((F.col("a") != F.col("b")) & _sharing(hundredths)).select("a", "a_n", "b", "b_n").distinct()
+    star = _mapped(star, maps, hundredths)
 
-    wanted = shared.select("key").distinct()
-    ids = reps.join(wanted, "key", "left_semi")
-    ids = cut(ids.where("id is not null"))
-    known = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = rows.join(known, "id").mapInArrow(_whole(n), "key long, n long, members binary, map array<long>").dropDuplicates(["key"])
-    sets = cut(sets)
-    links = cut(_verified(star, sets, hundredths))
+    links = _verified(star, rows, reps, n, hundredths)
     found = components(links, "a", "b").select(F.col("node").alias("key"), "component")
 
     # What is not in one component yet.
     placed = shared.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
     spread = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    open_entries = cut(placed.join(spread, "token").join(sets.select("key", "map"), "key"))
-    own = open_entries.select("token", "block", *[F.col(c).alias(f"a_{c}") for c in ("key", "n", "pos", "component", "map")]).withColumnRenamed("a_key", "a")
-    other = open_entries.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") - 1))).select("token", "block", *[F.col(c).alias(f"b_{c}") for c in ("key", "n", "pos", "component", "map")]).withColumnRenamed("b_key", "b")
-    least = F.ceil(hundredths * (F.col("a_n") + F.col("b_n")) / F.lit(100 + hundredths))
-    bound = F.least("a_pos", "b_pos") + 1 + F.least(F.col("a_n") - F.col("a_pos") - 1, F.col("b_n") - F.col("b_pos") - 1)
-    apart = sum((F.bit_count(F.col("a_map")[k].bitwiseXOR(F.col("b_map")[k])) for k in range(MAP_WORDS)), F.lit(0))
-    possible = (
-        (F.col("a_component") != F.col("b_component"))
-        & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b"))))
-        & (F.col("a_n") * 100 >= F.col("b_n") * hundredths)
-        & (bound >= least)
-        & (apart <= F.col("a_n") + F.col("b_n") - 2 * least)
-    )
-    rest = own.join(other, (own["token"] == other["token"]) & (own["block"] == other["block"]) & possible).select("a", "b").distinct()
-    more = _verified(cut(rest), sets, hundredths)
+    open_entries = cut(placed.join(spread, "token").join(owners.select("key", "small"), "key"))
+    named = lambda side: [F.col("key").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "pos", "component", "small")]]
+    own = open_entries.select("token", "block", *named("a"))
+    other = open_entries.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") - 1))).select("token", "block", *named("b"))
+    once = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))
+    apart = sum((F.bit_count(F.col("a_small")[k].bitwiseXOR(F.col("b_small")[k])) for k in range(FOLDED_WORDS)), F.lit(0))
+    open_pair = (F.col("a_component") != F.col("b_component")) & once & _sharing(hundredths) & _near(apart, hundredths)
+    rest = own.join(other, (own["token"] == other["token"]) & (own["block"] == other["block"]) & open_pair).select("a", "a_n", "b", "b_n").distinct()
+    more = _verified(_mapped(rest, maps, hundredths), rows, reps, n, hundredths)
     all_found = components(links.union(more), "a", "b").select(F.col("node").alias("key"), "component")
 
     by_component = classes.join(all_found, "key", "left").withColumn("component", F.coalesce("component", "key"))
