@@ -38,6 +38,7 @@ def levels(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> li
     # Rows with the same id and text are one document.
     lines = cut(lines.dropDuplicates(["d", "t", "line"]))
     repeated = lines.groupBy("g").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "line")).alias("top")).where("n > 1").select("g", "top")
+    repeated = cut(repeated)  # so that the join below has its own exchange, whose hot partitions can be split
     place = Window.partitionBy("d", "t").orderBy("line")
     at = lines.withColumn("pos", F.row_number().over(place))
     found = at.join(repeated, "g").select("d", "t", "pos", "line", F.col("line").alias("last"), "chars", "g", F.lit(0).cast("long").alias("o"), (F.struct("d", "t", "line") == F.col("top")).alias("first"))
