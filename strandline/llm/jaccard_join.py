@@ -6,8 +6,8 @@ that reach the threshold share a hash among the first n - ceil(t * n) + 1 of eac
 * Index-level skipping: the entries of a list are in blocks by set size (sets that differ by more than the threshold
   allows lie more than one block apart), and an entry holds its position, which bounds how much two sets can share;
   blocks and pairs whose bound is too low are passed over.
-* Answer-level skipping: in each block every set is first compared with one pivot, the member with the largest part
-  of its prefix in common with others. Sets found linked form components, and the answers of one member serve all of
+* Answer-level skipping: in each block every set is first compared with two pivots, members with the largest part
+  of their prefix in common with others. Sets found linked form components, and the answers of one member serve all of
   them: what is in one component already is not compared again, and a list with one component is left out. If the
   differences of two sets to a pivot are disjoint, the two can only be linked if both are linked to the pivot, so few
   pairs remain. Those get a bound from parity bit maps (two maps differ in no more bits than the sets differ in members)
@@ -34,10 +34,10 @@ N = 3
 HUNDREDTHS = 90
 #: A block spans a little more than the sizes that can be linked, so that those lie one block apart at most.
 BLOCK_STEP = 1.000001
-#: Words of 64 bits in the parity map that index entries carry, and most of them in that which pairs are looked at with first. A
-#: set's own map has a power of two of them, for 4 bits a member or more.
+#: Words of 64 bits in the parity map that index entries carry. A set's own map has a power of two of them, for 4 bits a member or
+#: more; the middle one an eighth of that or more, which tells most pairs apart and is carried by entries of large sets.
 FOLDED_WORDS = 4
-MIDDLE_WORDS = 16
+MIDDLE_PART = 8
 #: Documents to be compared are found by a broadcast of their ids up to this number (16 MB), else by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -78,7 +78,7 @@ def _summaries(n: int, hundredths: int):
                 words = max(FOLDED_WORDS, 1 << (len(s) // 16).bit_length())
                 place = (textops.mix(s + np.uint64(991)) & np.uint64(64 * words - 1)).astype(np.int64)
                 maps[row] = np.packbits(np.bincount(place, minlength=64 * words) & 1 == 1).view(np.int64)
-                middle[row] = np.bitwise_xor.reduce(maps[row].reshape(-1, min(words, MIDDLE_WORDS)), 0)
+                middle[row] = np.bitwise_xor.reduce(maps[row].reshape(-1, max(FOLDED_WORDS, words // MIDDLE_PART)), 0)
                 small[row] = np.bitwise_xor.reduce(maps[row].reshape(-1, FOLDED_WORDS), 0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size), pa.array(key), _lists(prefix), _lists(maps), _lists(middle), _lists(list(small))], ["id", "n", "key", "prefix", "map", "middle", "small"])
 
@@ -122,11 +122,11 @@ def _near(apart, hundredths: int):
     return sizes & (apart <= F.col("a_n") + F.col("b_n") - 2 * least)
 
 
-def _differing():
+def _differing(which: str = "map"):
     """In how many bits the whole maps of a pair differ; the longer one is folded to the length of the other, as sizes that can be linked are less than a factor of two apart."""
     half = lambda m: F.shiftright(F.size(m), 1)
     halved = lambda m: F.zip_with(F.slice(m, F.lit(1), half(m)), F.slice(m, half(m) + 1, half(m)), lambda x, y: x.bitwiseXOR(y))
-    a, b = F.col("a_map"), F.col("b_map")
+    a, b = F.col(f"a_{which}"), F.col(f"b_{which}")
     left, right = F.when(F.size(a) > F.size(b), halved(a)).otherwise(a), F.when(F.size(b) > F.size(a), halved(b)).otherwise(b)
     return F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
 
@@ -178,12 +178,13 @@ def jaccard_components(docs: DataFrame, n: int = N, hundredths: int = HUNDREDTHS
     block = F.floor(F.log(F.col("n").cast("double")) / F.lit(BLOCK_STEP * log(100 / hundredths))).cast("int")
     shared = cut(entries.join(listed.select("token"), "token").withColumn("block", block))
 
-    # Answers for each set from its block's pivot.
+    # Answers for each set from its block's two pivots: of those that share most, the first and the last by key.
     prefix = F.col("n") - F.ceil(F.col("n") * hundredths / F.lit(100)) + 1
     support = shared.groupBy("key").agg((F.count("*") / F.first(prefix)).alias("support"))
     supported = shared.join(support, "key")
-    pivots = supported.groupBy("token", "block").agg(F.max(F.struct("support", "key", "n", "pos")).alias("top"), F.count("*").alias("m")).where("m > 1")
-    pivots = pivots.select("token", "block", F.col("top.key").alias("b"), F.col("top.n").alias("b_n"), F.col("top.pos").alias("b_pos"))
+    pivots = supported.groupBy("token", "block").agg(*[F.max(F.struct("support", by.alias("by"), "key", "n", "pos")).alias(name) for name, by in (("top", F.col("key")), ("other", F.bitwise_not("key")))], F.count("*").alias("m")).where("m > 1")
+    pivots = pivots.select("token", "block", F.explode(F.array_distinct(F.array(F.struct("top.key", "top.n", "top.pos"), F.struct("other.key", "other.n", "other.pos")))).alias("p"))
+    pivots = pivots.select("token", "block", F.col("p.key").alias("b"), F.col("p.n").alias("b_n"), F.col("p.pos").alias("b_pos"))
     own = shared.select("token", "block", F.col("key").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"))
     star = own.join(pivots, ["token", "block"]).where((F.col("a") != F.col("b")) & _sharing(hundredths)).select("a", "a_n", "b", "b_n").distinct()
     star = _mapped(star, maps, hundredths)
@@ -194,13 +195,14 @@ def jaccard_components(docs: DataFrame, n: int = N, hundredths: int = HUNDREDTHS
     # What is not in one component yet.
     placed = shared.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
     spread = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    open_entries = cut(placed.join(spread, "token").join(owners.select("key", "small"), "key"))
-    named = lambda side: [F.col("key").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "pos", "component", "small")]]
+    open_entries = cut(placed.join(spread, "token").join(owners.select("key", "small", F.when(F.size("middle") > FOLDED_WORDS, F.col("middle")).alias("middle")), "key"))
+    named = lambda side: [F.col("key").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "pos", "component", "small", "middle")]]
     own = open_entries.select("token", "block", *named("a"))
     other = open_entries.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") - 1))).select("token", "block", *named("b"))
     once = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))
     apart = sum((F.bit_count(F.col("a_small")[k].bitwiseXOR(F.col("b_small")[k])) for k in range(FOLDED_WORDS)), F.lit(0))
     open_pair = (F.col("a_component") != F.col("b_component")) & once & _sharing(hundredths) & _near(apart, hundredths)
+    open_pair &= F.coalesce(_near(_differing("middle"), hundredths), F.lit(True))  # null: of a small set, whose middle map is the one above
     rest = own.join(other, (own["token"] == other["token"]) & (own["block"] == other["block"]) & open_pair).select("a", "a_n", "b", "b_n").distinct()
     more = _verified(_mapped(rest, maps, hundredths), rows, reps, n, hundredths)
     all_found = components(links.union(more), "a", "b").select(F.col("node").alias("key"), "component")
