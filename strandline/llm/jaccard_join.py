@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import textops
-from strandline.llm.common import components, cut
+from strandline.llm.common import components, cut, removed, stored
 
 N = 3
 #: Threshold in hundredths.
@@ -38,6 +38,9 @@ BLOCK_STEP = 1.000001
 #: more; the middle one an eighth of that or more, which tells most pairs apart and is carried by entries of large sets.
 FOLDED_WORDS = 4
 MIDDLE_PART = 8
+#: Sizes of a list are counted in so many slots of 4 bits, by block; blocks so many apart share one, and lists of more than SLOT_MOST are left whole.
+SLOTS = 15
+SLOT_MOST = 15
 #: Documents to be compared are found by a broadcast of their ids up to this number (16 MB), else by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -131,6 +134,12 @@ def _differing(which: str = "map"):
     return F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
 
 
+def _has_company(listed: str, slots: str):
+    """Whether a list may have another entry in this entry's block or one beside it. Never false if it has."""
+    around = [F.expr(f"shiftright({slots}, cast(4 * pmod(block + {d}, {SLOTS}) as int)) & 15") for d in (-1, 0, 1)]
+    return (F.col(listed) > SLOT_MOST) | (sum(around, F.lit(0)) > 1)
+
+
 def _sharing(hundredths: int):
     """Whether sets that share the entry at these positions can share enough members."""
     least = F.ceil(hundredths * (F.col("a_n") + F.col("b_n")) / F.lit(100 + hundredths))
@@ -170,13 +179,15 @@ def jaccard_components(docs: DataFrame, n: int = N, hundredths: int = HUNDREDTHS
     base = cut(rows.mapInArrow(_summaries(n, hundredths), "id long, n long, key long, prefix array<long>, map array<long>, middle array<long>, small array<long>"))
     classes = base.where("n > 0").groupBy("key").agg(F.min("id").alias("least"), F.max("n").alias("n"))
     reps = classes.select("key", F.col("least").alias("id"))
-    owners = base.where("n > 0").join(reps.withColumn("rep", F.lit(True)), ["key", "id"], "left_semi").select("key", "n", "prefix", "map", "middle", "small").dropDuplicates(["key"])
+    # A key has one representative, so (key, id) is unique as key is; it is what the join has dealt by.
+    owners = base.where("n > 0").join(reps, ["key", "id"], "left_semi").dropDuplicates(["key", "id"]).select("key", "n", "prefix", "map", "middle", "small")
     owners = cut(owners)
     maps = owners.select("key", "map", "middle")
-    entries = owners.select("key", "n", F.posexplode("prefix").alias("pos", "token"))
-    listed = entries.groupBy("token").agg(F.count("*").alias("listed")).where("listed > 1")
     block = F.floor(F.log(F.col("n").cast("double")) / F.lit(BLOCK_STEP * log(100 / hundredths))).cast("int")
-    shared = cut(entries.join(listed.select("token"), "token").withColumn("block", block))
+    entries = owners.select("key", "n", block.alias("block"), F.posexplode("prefix").alias("pos", "token"))
+    slot = F.expr(f"shiftleft(1L, cast(4 * (block % {SLOTS}) as int))")
+    listed = entries.groupBy("token").agg(F.count("*").alias("listed"), F.try_sum(slot).alias("slots")).where("listed > 1")
+    shared, shared_path = stored(entries.join(listed, "token").where(_has_company("listed", "slots")).select("token", "block", "key", "n", "pos"), "shared")
 
     # Answers for each set from its block's two pivots: of those that share most, the first and the last by key.
     prefix = F.col("n") - F.ceil(F.col("n") * hundredths / F.lit(100)) + 1
@@ -195,7 +206,7 @@ def jaccard_components(docs: DataFrame, n: int = N, hundredths: int = HUNDREDTHS
     # What is not in one component yet.
     placed = shared.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
     spread = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    open_entries = cut(placed.join(spread, "token").join(owners.select("key", "small", F.when(F.size("middle") > FOLDED_WORDS, F.col("middle")).alias("middle")), "key"))
+    open_entries, open_path = stored(placed.join(spread, "token").join(owners.select("key", "small", F.when(F.size("middle") > FOLDED_WORDS, F.col("middle")).alias("middle")), "key"), "open")
     named = lambda side: [F.col("key").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "pos", "component", "small", "middle")]]
     own = open_entries.select("token", "block", *named("a"))
     other = open_entries.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") - 1))).select("token", "block", *named("b"))
@@ -204,7 +215,10 @@ def jaccard_components(docs: DataFrame, n: int = N, hundredths: int = HUNDREDTHS
     open_pair = (F.col("a_component") != F.col("b_component")) & once & _sharing(hundredths) & _near(apart, hundredths)
     open_pair &= F.coalesce(_near(_differing("middle"), hundredths), F.lit(True))  # null: of a small set, whose middle map is the one above
     rest = own.join(other, (own["token"] == other["token"]) & (own["block"] == other["block"]) & open_pair).select("a", "a_n", "b", "b_n").distinct()
-    more = _verified(_mapped(rest, maps, hundredths), rows, reps, n, hundredths)
+    possible = _mapped(rest, maps, hundredths)
+    for path in (shared_path, open_path):
+        removed(docs.sparkSession, path)
+    more = _verified(possible, rows, reps, n, hundredths)
     all_found = components(links.union(more), "a", "b").select(F.col("node").alias("key"), "component")
 
     by_component = classes.join(all_found, "key", "left").withColumn("component", F.coalesce("component", "key"))
