@@ -10,8 +10,9 @@ that reach the threshold share a hash among the first n - ceil(t * n) + 1 of eac
   of their prefix in common with others. Sets found linked form components, and the answers of one member serve all of
   them: what is in one component already is not compared again, and a list with one component is left out. If the
   differences of two sets to a pivot are disjoint, the two can only be linked if both are linked to the pivot, so few
-  pairs remain. Those get a bound from parity bit maps (two maps differ in no more bits than the sets differ in members)
-  and, if that doesn't settle it, an exact comparison.
+  pairs remain. A pair is made only where it can share its first entry (not where an entry shortly before is shared too).
+  It gets a bound from parity bit maps (two maps differ in no more bits than the sets differ in members) and, if that
+  doesn't settle it, an exact comparison.
 
 No pair that could be linked is passed over unless both sets are in the same component already.
 """
@@ -23,7 +24,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import textops
@@ -146,10 +147,18 @@ def _sharing(hundredths: int):
     return F.least("a_pos", "b_pos") + 1 + F.least(F.col("a_n") - F.col("a_pos") - 1, F.col("b_n") - F.col("b_pos") - 1) >= least
 
 
-def _mapped(pairs: DataFrame, maps: DataFrame, hundredths: int) -> DataFrame:
-    """The pairs (a, a_n, b, b_n) that are possible by their middle maps, and then by their whole ones."""
+def _first(hundredths: int):
+    """Whether the entries at these positions can be the first that two linked sets share: all members before them then differ."""
+    least = F.ceil(hundredths * (F.col("a_n") + F.col("b_n")) / F.lit(100 + hundredths))
+    ahead = (F.col("a_pos") + F.col("b_pos") <= F.col("a_n") + F.col("b_n") - 2 * least) & (F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= least)
+    again = [F.coalesce(F.col(f"a_{x}") == F.col(f"b_{y}"), F.lit(False)) for x in ("before", "earlier") for y in ("before", "earlier")]
+    return ahead & ~(again[0] | again[1] | again[2] | again[3])
+
+
+def _mapped(pairs: DataFrame, maps: DataFrame, hundredths: int, by: tuple[str, ...]) -> DataFrame:
+    """The pairs (a, a_n, b, b_n) that are possible by these maps, one after the other."""
     pairs = pairs.where(_near(F.lit(0), hundredths))
-    for which in ("middle", "map"):
+    for which in by:
         left = maps.select(F.col("key").alias("a"), F.col(which).alias("a_map"))
         right = maps.select(F.col("key").alias("b"), F.col(which).alias("b_map"))
         pairs = cut(pairs.join(left, "a").join(right, "b").where(_near(_differing(), hundredths)).select("a", "a_n", "b", "b_n"))
@@ -161,7 +170,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, n: int, hundre
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     ids = cut(reps.where("id is not null").join(wanted, "key", "left_semi"))
     known = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = cut(rows.join(known, "id").mapInArrow(_whole(n), "key long, members binary").dropDuplicates(["key"]))
+    sets = rows.join(known, "id").mapInArrow(_whole(n), "key long, members binary").dropDuplicates(["key"])  # not cut: its shuffle serves both joins
     left = sets.select(F.col("key").alias("a"), F.col("members").alias("a_members"))
     right = sets.select(F.col("key").alias("b"), F.col("members").alias("b_members"))
     return cut(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_compare(hundredths), "a long, b long"))
@@ -198,7 +207,7 @@ def jaccard_components(docs: DataFrame, n: int = N, hundredths: int = HUNDREDTHS
     pivots = pivots.select("token", "block", F.col("p.key").alias("b"), F.col("p.n").alias("b_n"), F.col("p.pos").alias("b_pos"))
     own = shared.select("token", "block", F.col("key").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"))
     star = own.join(pivots, ["token", "block"]).where((F.col("a") != F.col("b")) & _sharing(hundredths)).select("a", "a_n", "b", "b_n").distinct()
-    star = _mapped(star, maps, hundredths)
+    star = _mapped(star, maps, hundredths, ("middle", "map"))
 
     links = _verified(star, rows, reps, n, hundredths)
     found = components(links, "a", "b").select(F.col("node").alias("key"), "component")
@@ -206,17 +215,23 @@ def jaccard_components(docs: DataFrame, n: int = N, hundredths: int = HUNDREDTHS
     # What is not in one component yet.
     placed = shared.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
     spread = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    open_entries, open_path = stored(placed.join(spread, "token").join(owners.select("key", "small", F.when(F.size("middle") > FOLDED_WORDS, F.col("middle")).alias("middle")), "key"), "open")
-    named = lambda side: [F.col("key").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "pos", "component", "small", "middle")]]
-    own = open_entries.select("token", "block", *named("a"))
-    other = open_entries.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") - 1))).select("token", "block", *named("b"))
+    in_set = Window.partitionBy("key").orderBy("pos")
+    small_maps = owners.select("key", "small", F.when(F.size("middle") > FOLDED_WORDS, F.col("middle")).alias("middle"))
+    open_entries = placed.join(spread, "token").join(small_maps, "key").withColumns({"before": F.lag("token", 1).over(in_set), "earlier": F.lag("token", 2).over(in_set)})
+    open_entries, open_path = stored(open_entries, "open")
+    # a is the smaller set: what it shares first lies within the part of it that may be missing from a set of its own size.
+    named = lambda side: [F.col(c).alias(side if c == "key" else f"{side}_{c}") for c in ("key", "n", "pos", "component", "before", "earlier", "small", "middle")]
+    indexed = open_entries.where(F.col("pos") <= F.col("n") - F.ceil(2 * hundredths * F.col("n") / F.lit(100 + hundredths)))
+    own = indexed.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1))).select("token", "block", *named("a"))
+    other = open_entries.select("token", "block", *named("b"))
     once = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))
     apart = sum((F.bit_count(F.col("a_small")[k].bitwiseXOR(F.col("b_small")[k])) for k in range(FOLDED_WORDS)), F.lit(0))
-    open_pair = (F.col("a_component") != F.col("b_component")) & once & _sharing(hundredths) & _near(apart, hundredths)
+    open_pair = (F.col("a_component") != F.col("b_component")) & once & _first(hundredths) & _near(apart, hundredths)
     open_pair &= F.coalesce(_near(_differing("middle"), hundredths), F.lit(True))  # null: of a small set, whose middle map is the one above
     rest = own.join(other, (own["token"] == other["token"]) & (own["block"] == other["block"]) & open_pair).select("a", "a_n", "b", "b_n").distinct()
-    possible = _mapped(rest, maps, hundredths)
-    for path in (shared_path, open_path):
+    rest, rest_path = stored(rest, "pairs")  # as a file of known size: if it is small, Spark broadcasts it instead of dealing the maps
+    possible = _mapped(rest, maps, hundredths, ("map",))
+    for path in (shared_path, open_path, rest_path):
         removed(docs.sparkSession, path)
     more = _verified(possible, rows, reps, n, hundredths)
     all_found = components(links.union(more), "a", "b").select(F.col("node").alias("key"), "component")
