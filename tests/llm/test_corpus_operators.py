@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,30 @@ def test_compact_windows_against_brute_force():
         assert set(zip(*[x.tolist() for x in compact_windows.windows_of(values, bounds, least)], strict=True)) == expected
 
 
+def candidate_recall(functions, pairs=600, least=46):
+    """Of pairs of stretches of 50 words or so at the threshold by brute force, the part that shares a key."""
+    r, found, n = random.Random(5), 0, 0
+    fresh = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
+    while n < pairs:
+        a = fresh(50)
+        b = [*a[:45], *fresh(5)] if r.random() < 0.5 else [*a[5:], *fresh(5)]
+        x, y = ({tuple(w[k : k + 5]) for k in range(46)} for w in (a, b))
+        assert 0.8 <= len(x & y) / len(x | y) < 0.81
+        n += 1
+        batch = pa.RecordBatch.from_pydict({"id": pa.array([1, 2]), "text": [" ".join(a), " ".join(b)]})
+        rows = pa.Table.from_batches(compact_windows._windows(5, least, functions)([batch])).sort_by([("id", "ascending"), ("j", "ascending"), ("c", "ascending")])
+        keys = defaultdict(set)
+        for part in compact_windows._joined(least)(rows.combine_chunks().to_batches()):
+            for key, id_ in zip(part["key"].to_pylist(), part["id"].to_pylist(), strict=True):
+                keys[id_].add(key)
+        found += bool(keys[1] & keys[2])
+    return found / pairs
+
+
+def test_passages_at_the_threshold_are_candidates():
+    assert candidate_recall(compact_windows.FUNCTIONS) > 0.94
+
+
 def test_repeated_passages(spark):
     r = random.Random(3)
     word = lambda: r.choice("abcdefghijklm") + str(r.randrange(3000))
