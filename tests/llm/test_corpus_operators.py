@@ -176,6 +176,29 @@ def test_repeated_passages(spark):
     assert compact_windows.repeated_passages(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_all_families_of_a_signature_are_compared(spark, monkeypatch):
+    # All windows have the same signature, as around one phrase: whatever is found depends on who is compared.
+    run = compact_windows._joined
+
+    def one_key(least):
+        def of(batches):
+            for b in run(least)(batches):
+                yield b.set_column(0, "key", pa.array(np.zeros(b.num_rows, np.int64)))
+
+        return of
+
+    monkeypatch.setattr(compact_windows, "_joined", one_key)
+    r = random.Random(9)
+    fresh = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
+    families = [fresh(60) for _ in range(7)]
+    rows = [(k, " ".join([*fresh(3), *families[k % 7], *fresh(3)])) for k in range(21)]
+    # What matches the first text elsewhere is still compared with the others of its group.
+    extra = fresh(60)
+    rows += [(30, " ".join([*families[0], *fresh(9), *extra])), (31, " ".join([*fresh(9), *extra]))]
+    got = compact_windows.repeated_passages(frame(spark, rows)).collect()
+    assert {(p.doc_id, p.other_id) for p in got} >= {(31, 30)} | {(k, k % 7) for k in range(7, 21)}
+
+
 def brute_targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
     weight = {s: k % 3 + 1 for k, s in enumerate(names)}
