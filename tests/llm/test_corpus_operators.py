@@ -152,6 +152,26 @@ def test_passages_at_the_threshold_are_candidates():
     assert candidate_recall(compact_windows.FUNCTIONS) > 0.94
 
 
+def test_passages_in_another_order_are_found():
+    fresh = iter(np.random.default_rng(4).permutation(100_000).astype(np.uint64))
+    new = lambda k: np.array([next(fresh) for _ in range(k)], np.uint64)
+    p1, p2 = new(56), new(56)
+    covered = lambda got, where: all(any(g[0] <= a + 3 and g[1] >= a + 52 and g[2] <= b + 3 and g[3] >= b + 52 for g in got) for a, b in where)
+    for gap in (30, 60, 400):
+        got = compact_windows.passages(np.concatenate([p2, new(gap), p1]), np.concatenate([p1, new(4), p2]), 46, 0.8)
+        assert covered(got, [(56 + gap, 0), (0, 60)]), gap
+    # A long run that passes with a second passage elsewhere in a.
+    long = new(300)
+    got = compact_windows.passages(np.concatenate([p2, new(900), long]), np.concatenate([long, p2]), 46, 0.8)
+    assert covered(got, [(0, 300)]) and any(g[3] - g[2] >= 295 for g in got)
+    # Exact stretch beside one that is too loose, and a shingle that a has in several places.
+    loose = new(40)
+    loose_b = loose.copy()
+    loose_b[4::8] = new(5)
+    got = compact_windows.passages(np.concatenate([p1, new(9), p1[:9]]), np.concatenate([p1, new(9), loose_b]), 46, 0.8)
+    assert covered(got, [(0, 0)])
+
+
 def test_repeated_passages(spark):
     r = random.Random(3)
     word = lambda: r.choice("abcdefghijklm") + str(r.randrange(3000))
