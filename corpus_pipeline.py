@@ -15,6 +15,9 @@ from strandline.llm.common import shared_dir, table
 
 #: A document is rejected if no language has this part of its n-grams.
 LEAST_COVER = 0.2
+#: Near duplicates share this part, in hundredths, of their shingles of so many words.
+NEAR_WORDS = 5
+NEAR_HUNDREDTHS = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +35,9 @@ def line_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest id. Rows without an id stay; of rows with the
-    same id and text one stays."""
-    judged = jaccard_join.jaccard_components(docs).where("doc_id is not null")
+    """One document of each group linked by a Jaccard similarity of 0.8 of five-word shingles: that with the smallest
+    id. Rows without an id stay; of rows with the same id and text one stays."""
+    judged = jaccard_join.jaccard_components(docs, n=NEAR_WORDS, hundredths=NEAR_HUNDREDTHS).where("doc_id is not null")
     kept = judged.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
     out = docs.join(kept, docs["doc_id"] == kept["_id"])
     once = out.where("_n = 1").select(docs.columns)

@@ -330,3 +330,14 @@ def test_pipeline_stages(spark, tmp_path):
     deduped = spark.read.parquet(str(tmp_path / "line_dedup")).where("doc_id = 104").first()
     assert boiler not in deduped.text and deduped.n_chars == len(deduped.text)
     assert sorted(tuple(x) for x in pipeline.run(spark, str(tmp_path)).select("doc_id", "copy").collect()) == sorted(tuple(x) for x in docs.select("doc_id", "copy").collect())
+
+
+def test_near_duplicates_stage_links_from_four_fifths_of_five_word_shingles(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(104)]
+    longer, other = [*words, *[f"x{k}" for k in range(22)]], [*words[:60], *[f"y{k}" for k in range(44)]]
+    sets = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (words, longer)]
+    assert 0.81 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.83
+    rows = frame(spark, [(k, " ".join(x)) for k, x in enumerate((words, longer, other))])
+    assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, rows, "").collect()) == [0, 2]
