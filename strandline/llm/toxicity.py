@@ -28,9 +28,6 @@ from strandline.llm.common import cut
 #: A candidate is in so many toxic rows or more, and toxic rows are this part of its rows or more.
 LEAST_ROWS = 5
 LEAST_PRECISION = 0.8
-#: The classifier's capacity: candidates, and words that it keeps; those in most toxic rows come first.
-MOST_CANDIDATES = 5_000
-MOST_WORDS = 500
 #: A kept word stands between so many different pairs of neighbours in toxic rows.
 LEAST_CONTEXTS = 3
 #: Labels are broadcast up to this number of rows (16 MB), else joined by a shuffle.
@@ -109,6 +106,7 @@ class Model:
         by_hash = {_hash(w): p for w, p in self.words.items()}
         self.precision = np.array([by_hash[h] for h in self.hashes.tolist()])
         self.squeezed = {_squeezed(w): _hash(w) for w in self.words}
+        self.lengths = sorted({len(k) for k in self.squeezed if len(k) > 3})
 
     def _decode(self, word: str) -> str:
         """The Viterbi path of a word's lattice."""
@@ -157,7 +155,11 @@ class Model:
         """The Viterbi path of an obfuscated word, and the hashes of the kept words that it is or spells out; doubled letters count once."""
         path = self.decode(word)
         plain = _squeezed(path)
-        return path, [h for k, h in self.squeezed.items() if k == plain or (len(k) > 3 and k in plain)]
+        return path, self._spelled(plain)
+
+    def _spelled(self, plain: str) -> list[int]:
+        parts = {plain, *(plain[at : at + n] for n in self.lengths for at in range(len(plain) - n + 1))}
+        return [self.squeezed[k] for k in parts if k in self.squeezed]
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """Noisy or over the distinct kept words of each text."""
@@ -249,23 +251,33 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000].astype(np.int64)) for x in (h, n1, n0)], ["h", "n1", "n0"])
 
 
-def _contexts(candidates: np.ndarray):
-    """(row, w, c): the candidates in each text, each with the hashes of its neighbours; a text without any is one row of nulls."""
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, w, c): the words of texts, each with the hashes of its neighbours, once for each run of texts."""
+    for batch in batches:
+        for w in _word_runs(batch.column("text")):
+            h = textops.hashes(w).view(np.int64)
+            before, after = np.concatenate([[0], h[:-1]]), np.concatenate([h[1:], [0]])
+            edges = w.bounds[:-1][np.diff(w.bounds) > 0], w.bounds[1:][np.diff(w.bounds) > 0] - 1
+            before[edges[0]] = after[edges[1]] = 0  # no neighbour in another text
+            around = before ^ (after << 1)
+            order = np.lexsort((around, h))
+            new = np.ones(len(h), bool)
+            new[1:] = (np.diff(h[order]) != 0) | (np.diff(around[order]) != 0)
+            kept = order[new]
+            words = [w.data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(w.starts[kept].tolist(), w.ends[kept].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(h[kept]), pa.array(words, pa.string()), pa.array(around[kept])], ["h", "w", "c"])
+
+
+def _without(hashes: np.ndarray):
+    """(missed): how many texts of a batch have none of these words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, around, has = [], [], np.zeros(batch.num_rows, bool)
+            has = np.zeros(batch.num_rows, bool)
             for w in _word_runs(batch.column("text")):
-                h = textops.hashes(w).view(np.int64)
-                at = np.minimum(np.searchsorted(candidates, h), len(candidates) - 1)
-                hit = np.flatnonzero(candidates[at] == h)
+                hit = np.flatnonzero(np.isin(textops.hashes(w).view(np.int64), hashes))
                 has[w.first + np.searchsorted(w.bounds, hit, "right") - 1] = True
-                padded = np.concatenate([[0], h, [0]])
-                for k in hit.tolist():
-                    words.append(w.data[w.starts[k] : w.ends[k]].tobytes().decode("utf-8", "replace"))
-                around += (padded[hit] ^ (padded[hit + 2] << 1)).tolist()
-            none = int((~has).sum())
-            yield pa.RecordBatch.from_arrays([pa.array(words + [None] * none, pa.string()), pa.array(around + [None] * none, pa.int64())], ["w", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([int((~has).sum())], pa.int64())], ["missed"])
 
     return run
 
@@ -283,20 +295,17 @@ def learn(docs: DataFrame, labels: DataFrame, corpus: DataFrame, id_column: str
     costs = character_costs(corpus, text)
     counts = rows.select("label", "text").mapInArrow(_presence, "h long, n1 long, n0 long").groupBy("h").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     good = counts.where((F.col("n1") >= LEAST_ROWS) & (F.col("n1") >= LEAST_PRECISION * (F.col("n1") + F.col("n0"))))
-    top = good.orderBy(F.desc("n1"), "h").limit(MOST_CANDIDATES).toPandas()
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
-    if not len(top) or not toxic:
-        return Model(costs, {}, toxic / max(1, toxic + other))
-    candidates = np.sort(top["h"].to_numpy().astype(np.int64))
-    number = dict(zip(top["h"].tolist(), zip(top["n1"].tolist(), top["n0"].tolist(), strict=True), strict=True))
+    if not toxic:
+        return Model(costs, {}, 0.0)
     marked = rows.where("label = 1").select("text")
-    seen = marked.mapInArrow(_contexts(candidates), "w string, c long").where("w is not null").groupBy("w").agg(F.count_distinct("c").alias("contexts"))
-    varied = sorted((r["w"] for r in seen.where(F.col("contexts") >= LEAST_CONTEXTS).collect() if _hash(r["w"]) in number), key=lambda x: (-number[_hash(x)][0], x))[:MOST_WORDS]
-    kept = {x: (number[_hash(x)][0] + 0.5) / (sum(number[_hash(x)]) + 1) for x in varied}
+    contexts = marked.mapInArrow(_contexts, "h long, w string, c long").join(good, "h").groupBy("h", "c").agg(F.min("w").alias("w"), F.first("n1").alias("n1"), F.first("n0").alias("n0"))
+    varied = contexts.groupBy("h").agg(F.min("w").alias("w"), F.first("n1").alias("n1"), F.first("n0").alias("n0"), F.count("*").alias("contexts")).where(F.col("contexts") >= LEAST_CONTEXTS)
+    kept = {r["w"]: (r["n1"] + 0.5) / (r["n1"] + r["n0"] + 1) for r in varied.orderBy(F.desc("n1"), "w").collect()}
     if not kept:
         return Model(costs, {}, toxic / (toxic + other))
-    missed = marked.mapInArrow(_contexts(np.sort(np.array([_hash(x) for x in kept], np.int64))), "w string, c long").where("w is null").count()
+    missed = marked.mapInArrow(_without(np.sort(np.array([_hash(x) for x in kept], np.int64))), "missed long").agg(F.sum("missed")).first()[0]
     return Model(costs, kept, missed / max(1, missed + other))
 
 

@@ -139,3 +139,15 @@ def test_toxicity(spark):
     assert [x.predicted for x in got] == [1, 1, 1, 0, 0, 0, 0] and all(0 <= x.score <= 1 for x in got)
     none = toxicity.learn(corpus, spark.createDataFrame([], "doc_id long, toxic int"), corpus)
     assert toxicity.score(corpus.limit(1), none).first().score == 0
+
+
+def test_toxicity_words_beside_a_long_copied_toxic_text(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    copied = " ".join(f"{word()}{k}" for k in range(5300))
+    rows = [(k, copied, 1) for k in range(12)]
+    rows += [(100 + k, " ".join([word(), word(), "vexatron", word()]), 1) for k in range(8)] + [(200 + k, " ".join(word() for _ in range(5)), 0) for k in range(40)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, docs)
+    assert set(model.words) == {"vexatron"}
