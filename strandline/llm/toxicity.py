@@ -1,8 +1,8 @@
 """Toxicity of texts under a noisy channel: deobfuscate by Viterbi decoding, then score the restored words.
 
 * A character trigram model is counted over the words of all documents.
-* A word that holds digits or signs among its letters, a letter three times in a row, or letters one at a time between
-  separators or spaces, becomes a lattice: each sign may stand for the letters it resembles, separators and repetitions
+* A word that holds digits, signs or invisible separators among its letters, a letter twice in a row, or pieces of one or
+  two letters between separators or spaces, becomes a lattice: each sign may stand for the letters it resembles, separators and repetitions
   may be dropped. The Viterbi path under the model and the channel's costs is the restored word.
 * Words that mark labelled texts are learned from labelled rows: counts over all of them give candidates, and of
   those the ones that stand between various neighbours are kept. So words that merely come along with toxic ones
@@ -53,6 +53,7 @@ _OTHER_ASCII = np.zeros(256, bool)
 _OTHER_ASCII[33:128] = True
 _OTHER_ASCII[97:123] = False
 _OTHER_ASCII[65:91] = False
+_UNSEEN = [np.frombuffer(c.encode(), np.uint8) for c in sorted(SEPARATORS) if not c.isascii()]
 _CORE = np.zeros(256, bool)  # what a word may begin or end with
 _CORE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), 36, 64]] = True
 
@@ -102,6 +103,7 @@ class Model:
     def __post_init__(self) -> None:
         self.costs = self.cost.reshape(-1, _SYMBOLS).tolist()
         self.decode = lru_cache(100_000)(self._decode)
+        self.spelled = lru_cache(100_000)(lambda word: self.restored(word)[1])
         self.hashes = np.sort(np.array([_hash(w) for w in self.words], np.int64))
         by_hash = {_hash(w): p for w, p in self.words.items()}
         self.precision = np.array([by_hash[h] for h in self.hashes.tolist()])
@@ -175,36 +177,61 @@ class Model:
             for row, k in zip(rows.tolist(), at[hit].tolist(), strict=True):
                 found.setdefault(row, set()).add(k)
             for row, word in self._obfuscated(w):
-                for h in self.restored(word)[1]:
+                for h in self.spelled(word):
                     found.setdefault(row, set()).add(int(np.searchsorted(self.hashes, h)))
             for row, kept in found.items():
                 out[w.first + row] = 1 - (1 - self.rest) * float(np.prod(1 - self.precision[sorted(kept)]))
         return out
 
-    @staticmethod
-    def _obfuscated(w: textops.Words) -> Iterator[tuple[int, str]]:
-        """(row, word) of what may hide a word: words with signs or threefold letters, and runs of three or more single characters, joined."""
+    def _obfuscated(self, w: textops.Words) -> Iterator[tuple[int, str]]:
+        """(row, word) of what may hide a word: words with signs, invisible separators or doubled letters, and runs of three or more pieces of one
+        or two characters, joined."""
         if not len(w.starts):
             return
-        sign = np.concatenate([[0], np.cumsum(_OTHER_ASCII[w.data])])
-        letter = np.concatenate([[0], np.cumsum(~_OTHER_ASCII[w.data])])
-        thrice = np.zeros(len(w.data), bool)
-        thrice[2:] = (w.data[2:] == w.data[1:-1]) & (w.data[1:-1] == w.data[:-2]) & (w.data[2:] > 57)
-        third = np.concatenate([[0], np.cumsum(thrice)])
+        data, size = w.data, len(w.data)
+        sign = np.concatenate([[0], np.cumsum(_OTHER_ASCII[data])])
+        letter = np.concatenate([[0], np.cumsum(~_OTHER_ASCII[data])])
+        twice = np.zeros(size, bool)
+        twice[1:] = (data[1:] == data[:-1]) & (data[1:] > 57) & (data[1:] < 128)
+        twice[3:] |= (data[3:] == data[1:-2]) & (data[2:-1] == data[:-3]) & (data[3:] >= 128) & (data[2:-1] >= 0xC0)  # letters of two bytes
+        unseen = np.zeros(size, bool)
+        for c in _UNSEEN:
+            if size >= len(c):
+                unseen[: size - len(c) + 1] |= np.logical_and.reduce([data[k : size - len(c) + 1 + k] == x for k, x in enumerate(c.tolist())])
+        mark = np.concatenate([[0], np.cumsum(twice | unseen)])
         length = w.ends - w.starts
-        odd = (length > 2) & (letter[w.ends] > letter[w.starts]) & ((sign[w.ends] > sign[w.starts]) | (third[w.ends] > third[w.starts]))
+        signed = (length > 2) & (letter[w.ends] > letter[w.starts]) & (sign[w.ends] > sign[w.starts])
+        odd = (length > 2) & (signed | (mark[w.ends] > mark[w.starts]))
         row_of = np.searchsorted(w.bounds, np.arange(len(w.starts)), "right") - 1
+        text = lambda k: data[w.starts[k] : w.ends[k]].tobytes().decode("utf-8", "replace")
         for k in np.flatnonzero(odd).tolist():
-            yield int(row_of[k]), w.data[w.starts[k] : w.ends[k]].tobytes().decode("utf-8", "replace")
-        single = (length == 1) & (w.data[w.starts] > 32)
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            while a < b:
-                row = int(row_of[a])
-                stop = min(b, int(w.bounds[row + 1]))
-                if stop - a >= 3:
-                    yield row, "".join(chr(w.data[w.starts[k]]) for k in range(a, stop))
-                a = stop
+            yield int(row_of[k]), text(k)
+        single = (length == 1) & (data[w.starts] > 32)
+        for a, b in self._runs(single, row_of):
+            if b - a >= 3:
+                yield int(row_of[a]), "".join(text(k) for k in range(a, b))
+        # Pieces of two letters are common words too, so what they spell has to begin and end with pieces.
+        longest = max(map(len, self.words), default=0)
+        for a, b in self._runs((length <= 2) & (data[w.starts] > 32), row_of):
+            if b - a < 3 or single[a:b].all():
+                continue
+            pieces = [text(k) for k in range(a, b)]
+            for x in range(len(pieces) - 2):
+                joined = "".join(pieces[x : x + 2])
+                for piece in pieces[x + 2 :]:
+                    joined += piece
+                    if len(joined) > 2 * longest:
+                        break
+                    if _squeezed(joined if joined.isalpha() else self.decode(joined)) in self.squeezed:
+                        yield int(row_of[a]), joined
+
+    @staticmethod
+    def _runs(mask: np.ndarray, row_of: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(begin, end) of the runs of marked words within a row."""
+        at = np.flatnonzero(mask)
+        if len(at):
+            cuts = np.flatnonzero((np.diff(at) != 1) | (np.diff(row_of[at]) != 0)) + 1
+            yield from zip(at[np.concatenate([[0], cuts])].tolist(), (at[np.concatenate([cuts - 1, [len(at) - 1]])] + 1).tolist(), strict=True)
 
 
 def character_costs(docs: DataFrame, text: str = "text") -> np.ndarray:

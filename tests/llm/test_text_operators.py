@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +152,10 @@ def test_toxicity_words_beside_a_long_copied_toxic_text(spark):
     labels = spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, toxic int")
     model = toxicity.learn(docs, labels, docs)
     assert set(model.words) == {"vexatron"}
+
+
+@pytest.mark.parametrize("hidden", ["vexxatron", "vveexxaattrroonn", "vex\u200batron", "ve\u00adxatron", "\u200bvexatron", "ve xa tr on", "v ex at ro n", "\u0434\u0434\u0443\u0440\u0430\u043a"])
+def test_toxicity_of_doubled_unseen_and_pieced_words(hidden):
+    model = toxicity.Model(np.full(28**3, 3.0), {"vexatron": 0.9, "\u0434\u0443\u0440\u0430\u043a": 0.9}, 0.1)
+    plain, found, other = model.scores(pa.array(["say it to all of us: better so", f"say {hidden} well", "as it is so we do go"])).tolist()
+    assert (plain, other) == (0.1, 0.1) and found > 0.8
