@@ -4,7 +4,7 @@ A page is read once into blocks of text, each with the path of block-level tags
 Per path, text length and punctuation are summed over its blocks and divided by the number of blocks; text in links
 counts against it. The two ratios are smoothed with those of the paths under the same parent, fused by their product,
 and paths whose fused ratio reaches a part of the page's highest are content; so a short paragraph stays if its path's
-other paragraphs are content. What the page itself marks as an article bounds the choice, what it marks as
+other paragraphs are content. What the page itself marks as an article weighs more in the fused ratio, what it marks as
 navigation, advertising, comments and the like is never content.
 """
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.08
 #: Weight of the neighbours in smoothing.
 SMOOTH = 0.5
-#: A path inside a marked article is dropped if links hold more than this part of its text.
-LINKED = 0.8
+#: Weight of a marked article in the fused ratio.
+ARTICLE = 3.0
 
 # Fixed lists: HTML elements and the words by which pages name their parts.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -157,33 +157,32 @@ def blocks(html: str) -> list[Block]:
 
 def selected(found: list[Block]) -> list[Block]:
     """The content among a page's blocks."""
-    marked = [b for b in found if b.article]
-    chosen = marked or found
+    # A path inside a marked article counts as another than the same path outside.
     chars: dict[tuple, int] = defaultdict(int)
     points: dict[tuple, int] = defaultdict(int)
     linked: dict[tuple, int] = defaultdict(int)
     nodes: dict[tuple, int] = defaultdict(int)
-    for b in chosen:
-        chars[b.path] += len(b.text)
-        points[b.path] += len(_PUNCTUATION.findall(b.text))
-        linked[b.path] += b.linked
-        nodes[b.path] += 1
-    if marked:
-        return [b for b in chosen if linked[b.path] <= LINKED * chars[b.path] or points[b.path] > nodes[b.path]]
+    for b in found:
+        p = (b.path, b.article)
+        chars[p] += len(b.text)
+        points[p] += len(_PUNCTUATION.findall(b.text))
+        linked[p] += b.linked
+        nodes[p] += 1
     # Ratios, smoothed within the parent, fused.
     plain = {p: max(0, chars[p] - linked[p]) / nodes[p] for p in chars}
     dots = {p: (points[p] + 0.1) / nodes[p] for p in chars}
     around: dict[tuple, list[tuple]] = defaultdict(list)
+    parent = lambda p: (p[0][:-1], p[1])
     for p in chars:
-        around[p[:-1]].append(p)
+        around[parent(p)].append(p)
 
     def smooth(ratio: dict[tuple, float]) -> dict[tuple, float]:
-        return {p: (1 - SMOOTH) * ratio[p] + SMOOTH * sum(ratio[q] for q in around[p[:-1]]) / len(around[p[:-1]]) for p in ratio}
+        return {p: (1 - SMOOTH) * ratio[p] + SMOOTH * sum(ratio[q] for q in around[parent(p)]) / len(around[parent(p)]) for p in ratio}
 
     smooth_chars, smooth_dots = smooth(plain), smooth(dots)
-    fused = {p: smooth_chars[p] * smooth_dots[p] * (1 - min(1, linked[p] / max(1, chars[p]))) for p in chars}
+    fused = {p: smooth_chars[p] * smooth_dots[p] * (1 - min(1, linked[p] / max(1, chars[p]))) * (ARTICLE if p[1] else 1) for p in chars}
     most = max(fused.values(), default=0)
-    return [b for b in chosen if fused[b.path] >= THRESHOLD * most and fused[b.path] > 0]
+    return [b for b in found if fused[b.path, b.article] >= THRESHOLD * most and fused[b.path, b.article] > 0]
 
 
 def main_text(html: str | None) -> str:

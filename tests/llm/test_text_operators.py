@@ -159,3 +159,12 @@ def test_toxicity_of_doubled_unseen_and_pieced_words(hidden):
     model = toxicity.Model(np.full(28**3, 3.0), {"vexatron": 0.9, "\u0434\u0443\u0440\u0430\u043a": 0.9}, 0.1)
     plain, found, other = model.scores(pa.array(["say it to all of us: better so", f"say {hidden} well", "as it is so we do go"])).tolist()
     assert (plain, other) == (0.1, 0.1) and found > 0.8
+
+
+def test_main_text_by_ratios_beside_an_article_mark():
+    prose = "A long sentence of the story, with commas, goes on here; it says one thing and then another, as stories do. " * 4
+    cards = "".join(f"<article><h3>Teaser {k}</h3></article>" for k in range(4))
+    page = f"<body><div class='story'><p>{prose}</p><p>{prose}</p></div>{cards}</body>"
+    assert html_text.main_text(page).count("long sentence") == 8
+    inside = f"<body><main><div class='x'><p>{prose}</p><p>{prose}</p></div><div class='y'><span>Buy now</span></div></main></body>"
+    assert "Buy now" not in html_text.main_text(inside) and html_text.main_text(inside).count("long sentence") == 8
