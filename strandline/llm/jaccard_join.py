@@ -1,7 +1,10 @@
 """Exact Jaccard join of n-gram sets by an inverted index with skipping, and the components of its links.
 
-A document's set holds the hashes of its distinct word n-grams, in order of hash. Equal sets are one class. Two sets
-that reach the threshold share a hash among the first n - ceil(t * n) + 1 of each, so only those prefixes are indexed.
+A document's set holds the hashes of its distinct word n-grams, in order of hash. Equal sets are one class. An n-gram that
+no set of a size in reach shares can't count for any link, so a set with too many of them is alone, and of the others only
+the rest is ordered: two sets that reach the threshold share an n-gram among the first n' - ceil(t * n) + 1 of
+each, where n' is what remains of n. Which n-grams are shared is known exactly for all hashes up to a bound that
+depends on the size of the sets alone; sets found alone leave, and what only they shared is unshared then, until few more leave.
 
 * Index-level skipping: the entries of a list are in blocks by set size (sets that differ by more than the threshold
   allows lie more than one block apart), and an entry holds its position, which bounds how much two sets can share;
@@ -12,19 +15,21 @@ that reach the threshold share a hash among the first n - ceil(t * n) + 1 of eac
   differences of two sets to a pivot are disjoint, the two can only be linked if both are linked to the pivot, so few
   pairs remain. A pair is made only where it can share its first entry (not where an entry shortly before is shared too).
   It gets a bound from parity bit maps (two maps differ in no more bits than the sets differ in members) and, if that
-  doesn't settle it, an exact comparison.
+  doesn't settle it, a comparison of the whole sets.
 
-No pair that could be linked is passed over unless both sets are in the same component already.
+No pair that could be linked is passed over unless both sets are in the same component already. Sets are compared as 64-bit
+hashes of their n-grams, which aren't verified against the words: of m distinct n-grams, m * m / 2 ** 65 pairs collide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import textops
@@ -42,6 +47,13 @@ MIDDLE_PART = 8
 #: Sizes of a list are counted in so many slots of 4 bits, by block; blocks so many apart share one, and lists of more than SLOT_MOST are left whole.
 SLOTS = 15
 SLOT_MOST = 15
+#: N-grams are examined for being shared up to this part of the hashes, times 1 - t, and so many more of each set.
+EXAMINED = 1.75
+EXAMINED_MORE = 8
+#: They are examined in so many slices of their hashes, one slice's shuffle on disk at a time.
+SLICES = 4
+#: Sets found alone leave until a round drops less than this part.
+LEAST_DROPPED = 0.1
 #: Documents to be compared are found by a broadcast of their ids up to this number (16 MB), else by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -66,6 +78,12 @@ def _prefix(n: int, hundredths: int) -> int:
     return n - -(-n * hundredths // 100) + 1
 
 
+def _bound(n: int, hundredths: int) -> np.uint64:
+    """N-grams with hashes below this are examined in sets of this size; no larger for larger sets."""
+    part = EXAMINED * (100 - hundredths) / 100 + EXAMINED_MORE / n
+    return np.uint64(min(part, 1.0) * (2**64 - 2**12))
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)])))
@@ -75,28 +93,36 @@ def _summaries(n: int, hundredths: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.num_rows
-            size, key, none = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(0, np.int64)
-            prefix, maps, middle, small = [none] * rows, [none] * rows, [none] * rows, np.zeros((rows, FOLDED_WORDS), np.int64)
+            size, key, examined, none = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int32), np.zeros(0, np.int64)
+            head, maps, middle, small = [none] * rows, [none] * rows, [none] * rows, np.zeros((rows, FOLDED_WORDS), np.int64)
             for row, s in _sets(batch, n):
-                size[row], key[row], prefix[row] = len(s), _key(s), s[: _prefix(len(s), hundredths)].view(np.int64)
+                size[row], key[row] = len(s), _key(s)
+                # What the largest set in reach has examined too is known to be shared or not.
+                examined[row] = np.searchsorted(s, _bound(len(s) * 100 // hundredths, hundredths))
+                head[row] = s[: max(_prefix(len(s), hundredths), int(np.searchsorted(s, _bound(len(s), hundredths))))].view(np.int64)
                 words = max(FOLDED_WORDS, 1 << (len(s) // 16).bit_length())
                 place = (textops.mix(s + np.uint64(991)) & np.uint64(64 * words - 1)).astype(np.int64)
                 maps[row] = np.packbits(np.bincount(place, minlength=64 * words) & 1 == 1).view(np.int64)
                 middle[row] = np.bitwise_xor.reduce(maps[row].reshape(-1, max(FOLDED_WORDS, words // MIDDLE_PART)), 0)
                 small[row] = np.bitwise_xor.reduce(maps[row].reshape(-1, FOLDED_WORDS), 0)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size), pa.array(key), _lists(prefix), _lists(maps), _lists(middle), _lists(list(small))], ["id", "n", "key", "prefix", "map", "middle", "small"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(size), pa.array(key), pa.array(examined), _lists(head), _lists(maps), _lists(middle), _lists(list(small))], ["id", "n", "key", "examined", "head", "map", "middle", "small"]
+            )
 
     return run
 
 
 def _whole(n: int):
+    """(key, members) of the sets; with a column ``key``, only where a text's set has that key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column("key").to_pylist()
+            wanted = batch.column("key").to_pylist() if "key" in batch.schema.names else None
             keys, members = [], []
             for row, s in _sets(batch, n):
-                if _key(s) == wanted[row]:
-                    keys.append(wanted[row])
+                key = _key(s)
+                if wanted is None or key == wanted[row]:
+                    keys.append(key)
                     members.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(members, pa.binary())], ["key", "members"])
 
@@ -144,17 +170,55 @@ def _has_company(listed: str, slots: str):
 def _sharing(hundredths: int):
     """Whether sets that share the entry at these positions can share enough members."""
     least = F.ceil(hundredths * (F.col("a_n") + F.col("b_n")) / F.lit(100 + hundredths))
-    return F.least("a_pos", "b_pos") + 1 + F.least(F.col("a_n") - F.col("a_pos") - 1, F.col("b_n") - F.col("b_pos") - 1) >= least
+    return F.least("a_pos", "b_pos") + 1 + F.least(F.col("a_left") - F.col("a_pos") - 1, F.col("b_left") - F.col("b_pos") - 1) >= least
 
 
 def _first(hundredths: int):
     """Whether the entries at these positions can be the first that two linked sets share: all members before them then differ."""
     least = F.ceil(hundredths * (F.col("a_n") + F.col("b_n")) / F.lit(100 + hundredths))
-    ahead = (F.col("a_pos") + F.col("b_pos") <= F.col("a_n") + F.col("b_n") - 2 * least) & (F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= least)
+    ahead = (F.col("a_pos") + F.col("b_pos") <= F.col("a_left") + F.col("b_left") - 2 * least) & (F.least(F.col("a_left") - F.col("a_pos"), F.col("b_left") - F.col("b_pos")) >= least)
     again = [F.coalesce(F.col(f"a_{x}") == F.col(f"b_{y}"), F.lit(False)) for x in ("before", "earlier") for y in ("before", "earlier")]
     return ahead & ~(again[0] | again[1] | again[2] | again[3])
 
 
+def _shared_heads(owners: DataFrame, slots: Column, slices: int) -> tuple[DataFrame, list[str]]:
+    """(key, head) of the sets that share any, where head has the (pos, token) that another set of a size in reach has too; and the paths of files."""
+    parts, paths = [], []
+    for k in range(slices):
+        own = F.filter("head", lambda x: F.pmod(x["token"], F.lit(slices)) == k) if slices > 1 else F.col("head")
+        entries = owners.select("key", "block", F.explode(own).alias("x")).select("x.token", "key", "block", "x.pos")
+        listed = entries.groupBy("token").agg(F.count("*").alias("listed"), F.try_sum(slots).alias("slots")).where("listed > 1")
+        part, path = stored(entries.join(listed, "token").where(_has_company("listed", "slots")).select("key", "pos", "token"), "heads")
+        parts.append(part)
+        paths.append(path)
+    return reduce(DataFrame.union, parts).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("head")), paths
+
+
+def _not_alone(owners: DataFrame, hundredths: int) -> DataFrame:
+    """(key, n, block, left, entries): the sets that may be linked, with the size that is left of them and the (pos, token) of their prefix, positions among what is left."""
+    spark = owners.sparkSession
+    slots = F.expr(f"shiftleft(1L, cast(4 * (block % {SLOTS}) as int))")
+    block = F.floor(F.log(F.col("n").cast("double")) / F.lit(BLOCK_STEP * log(100 / hundredths))).cast("int")
+    heads = owners.select("key", "n", "examined", block.alias("block"), F.transform("head", lambda x, i: F.struct(i.alias("pos"), x.alias("token"))).alias("head"))
+    slices, before = SLICES, None
+    while True:
+        shared, paths = _shared_heads(heads, slots, slices)
+        unshared = F.col("examined") - F.size(F.filter("head", lambda x: x["pos"] < F.col("examined")))
+        prefix = F.col("n") - F.ceil(F.col("n") * hundredths / F.lit(100)) + 1
+        heads = heads.drop("head").join(shared, "key").where(unshared < prefix)
+        heads = cut(heads)
+        for path in paths:
+            removed(spark, path)
+        now = heads.count()
+        if before is not None and now >= (1 - LEAST_DROPPED) * before:
+            break
+        before, slices = now, 1
+    # All that is examined and not in the head any more is unshared and lies before what isn't examined.
+    at = lambda x, i: F.when(x["pos"] < F.col("examined"), i).otherwise(x["pos"] - unshared.cast("int"))
+    entries = F.filter(F.transform("head", lambda x, i: F.struct(at(x, i).alias("pos"), x["token"].alias("token"))), lambda x: x["pos"] < prefix - unshared)
+    return cut(heads.select("key", "n", "block", (F.col("n") - unshared).alias("left"), entries.alias("entries")))
+
+
 def _mapped(pairs: DataFrame, maps: DataFrame, hundredths: int, by: tuple[str, ...]) -> DataFrame:
     """The pairs (a, a_n, b, b_n) that are possible by these maps, one after the other."""
     pairs = pairs.where(_near(F.lit(0), hundredths))
@@ -167,10 +231,12 @@ def _mapped(pairs: DataFrame, maps: DataFrame, hundredths: int, by: tuple[str, .
 
 def _verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame, n: int, hundredths: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold, by comparing their whole sets."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    wanted = cut(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
     ids = cut(reps.where("id is not null").join(wanted, "key", "left_semi"))
     known = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = rows.join(known, "id").mapInArrow(_whole(n), "key long, members binary").dropDuplicates(["key"])  # not cut: its shuffle serves both joins
+    sets = rows.join(known, "id").mapInArrow(_whole(n), "key long, members binary")
+    unnamed = rows.where("id is null").mapInArrow(_whole(n), "key long, members binary").join(wanted, "key", "left_semi")
+    sets = sets.union(unnamed).dropDuplicates(["key"])  # not cut: its shuffle serves both joins
     left = sets.select(F.col("key").alias("a"), F.col("members").alias("a_members"))
     right = sets.select(F.col("key").alias("b"), F.col("members").alias("b_members"))
     return cut(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_compare(hundredths), "a long, b long"))
@@ -181,31 +247,30 @@ def jaccard_components(docs: DataFrame, n: int = N, hundredths: int = HUNDREDTHS
 
     A text's words are separated by ASCII white space, A-Z lower-cased; with fewer than n words, but one, all of them are
     its one n-gram. Null, empty and blank texts have an empty set and are linked with nothing: their component is their
-    own id. Rows with the same id are rows of their own. A row with a null id is linked with equal sets only, and a
-    component's id is its smallest id that isn't null. An empty table gives an empty one.
+    own id. Rows with the same id are rows of their own, also those with a null id. A component's id is its smallest id that isn't
+    null, and null if it has none. An empty table gives an empty one.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    base = cut(rows.mapInArrow(_summaries(n, hundredths), "id long, n long, key long, prefix array<long>, map array<long>, middle array<long>, small array<long>"))
+    base = cut(rows.mapInArrow(_summaries(n, hundredths), "id long, n long, key long, examined int, head array<long>, map array<long>, middle array<long>, small array<long>"))
     classes = base.where("n > 0").groupBy("key").agg(F.min("id").alias("least"), F.max("n").alias("n"))
     reps = classes.select("key", F.col("least").alias("id"))
     # A key has one representative, so (key, id) is unique as key is; it is what the join has dealt by.
-    owners = base.where("n > 0").join(reps, ["key", "id"], "left_semi").dropDuplicates(["key", "id"]).select("key", "n", "prefix", "map", "middle", "small")
+    same = (base["key"] == reps["key"]) & base["id"].eqNullSafe(reps["id"])
+    owners = base.where("n > 0").join(reps, same, "left_semi").dropDuplicates(["key", "id"]).select("key", "n", "examined", "head", "map", "middle", "small")
     owners = cut(owners)
+    kept = _not_alone(owners, hundredths)
+    owners = cut(owners.drop("examined", "head").join(kept.select("key"), "key", "left_semi"))
     maps = owners.select("key", "map", "middle")
-    block = F.floor(F.log(F.col("n").cast("double")) / F.lit(BLOCK_STEP * log(100 / hundredths))).cast("int")
-    entries = owners.select("key", "n", block.alias("block"), F.posexplode("prefix").alias("pos", "token"))
-    slot = F.expr(f"shiftleft(1L, cast(4 * (block % {SLOTS}) as int))")
-    listed = entries.groupBy("token").agg(F.count("*").alias("listed"), F.try_sum(slot).alias("slots")).where("listed > 1")
-    shared, shared_path = stored(entries.join(listed, "token").where(_has_company("listed", "slots")).select("token", "block", "key", "n", "pos"), "shared")
+    shared, shared_path = stored(kept.select("block", "key", "n", "left", F.explode("entries").alias("x")).select("x.token", "block", "key", "n", "left", "x.pos"), "shared")
 
     # Answers for each set from its block's two pivots: of those that share most, the first and the last by key.
     prefix = F.col("n") - F.ceil(F.col("n") * hundredths / F.lit(100)) + 1
     support = shared.groupBy("key").agg((F.count("*") / F.first(prefix)).alias("support"))
     supported = shared.join(support, "key")
-    pivots = supported.groupBy("token", "block").agg(*[F.max(F.struct("support", by.alias("by"), "key", "n", "pos")).alias(name) for name, by in (("top", F.col("key")), ("other", F.bitwise_not("key")))], F.count("*").alias("m")).where("m > 1")
-    pivots = pivots.select("token", "block", F.explode(F.array_distinct(F.array(F.struct("top.key", "top.n", "top.pos"), F.struct("other.key", "other.n", "other.pos")))).alias("p"))
-    pivots = pivots.select("token", "block", F.col("p.key").alias("b"), F.col("p.n").alias("b_n"), F.col("p.pos").alias("b_pos"))
-    own = shared.select("token", "block", F.col("key").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"))
+    pivots = supported.groupBy("token", "block").agg(*[F.max(F.struct("support", by.alias("by"), "key", "n", "left", "pos")).alias(name) for name, by in (("top", F.col("key")), ("other", F.bitwise_not("key")))], F.count("*").alias("m")).where("m > 1")
+    pivots = pivots.select("token", "block", F.explode(F.array_distinct(F.array(F.struct("top.key", "top.n", "top.left", "top.pos"), F.struct("other.key", "other.n", "other.left", "other.pos")))).alias("p"))
+    pivots = pivots.select("token", "block", F.col("p.key").alias("b"), F.col("p.n").alias("b_n"), F.col("p.left").alias("b_left"), F.col("p.pos").alias("b_pos"))
+    own = shared.select("token", "block", F.col("key").alias("a"), F.col("n").alias("a_n"), F.col("left").alias("a_left"), F.col("pos").alias("a_pos"))
     star = own.join(pivots, ["token", "block"]).where((F.col("a") != F.col("b")) & _sharing(hundredths)).select("a", "a_n", "b", "b_n").distinct()
     star = _mapped(star, maps, hundredths, ("middle", "map"))
 
@@ -220,8 +285,8 @@ def jaccard_components(docs: DataFrame, n: int = N, hundredths: int = HUNDREDTHS
     open_entries = placed.join(spread, "token").join(small_maps, "key").withColumns({"before": F.lag("token", 1).over(in_set), "earlier": F.lag("token", 2).over(in_set)})
     open_entries, open_path = stored(open_entries, "open")
     # a is the smaller set: what it shares first lies within the part of it that may be missing from a set of its own size.
-    named = lambda side: [F.col(c).alias(side if c == "key" else f"{side}_{c}") for c in ("key", "n", "pos", "component", "before", "earlier", "small", "middle")]
-    indexed = open_entries.where(F.col("pos") <= F.col("n") - F.ceil(2 * hundredths * F.col("n") / F.lit(100 + hundredths)))
+    named = lambda side: [F.col(c).alias(side if c == "key" else f"{side}_{c}") for c in ("key", "n", "left", "pos", "component", "before", "earlier", "small", "middle")]
+    indexed = open_entries.where(F.col("pos") <= F.col("left") - F.ceil(2 * hundredths * F.col("n") / F.lit(100 + hundredths)))
     own = indexed.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1))).select("token", "block", *named("a"))
     other = open_entries.select("token", "block", *named("b"))
     once = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))
