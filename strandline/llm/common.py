@@ -14,10 +14,12 @@ SEPARATOR = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own if that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own if that is unset, which only a local session can use."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if configured is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="strandline-"))
     return configured or context.getCheckpointDir()
 

@@ -36,6 +36,11 @@ def tokens(text: Column) -> Column:
     return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
+def _from_first(raw: Column) -> Column:
+    """Without an empty first token, so that places count tokens."""
+    return F.when(F.get(raw, F.lit(0)) == "", F.slice(raw, F.lit(2), F.size(raw))).otherwise(raw)
+
+
 def _seed(toks: Column, at: Column, mask: tuple[int, ...], kind: int) -> Column:
     return F.xxhash64(F.lit(kind), *[F.get(toks, at + o) for o in mask])
 
@@ -73,7 +78,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, simila
     seeds, lengths = seeds_of(items)
     seeds = cut(seeds)
     blocks = max(1, ceil(seeds.count() / BLOCK_SEEDS))
-    rows = docs.select(F.col(id_column).alias("doc_id"), tokens(F.col(text)).alias("toks")).withColumn("n", F.size("toks"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), tokens(F.col(text)).alias("raw")).select("doc_id", _from_first(F.col("raw")).alias("toks")).withColumn("n", F.size("toks"))
     # Not a filter on n: that would split each text twice.
     placed = rows.withColumn("at", F.explode(F.when(F.col("n") >= LEAST, F.sequence(F.lit(0), F.col("n") - LEAST))))
     keys = [F.when(F.col("at") + m[-1] < F.col("n"), _seed(F.col("toks"), F.col("at"), m, k)) for k, m in _masks(lengths)]
@@ -100,6 +105,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, simila
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without a confirmed overlap, unchanged."""
-    hit = overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"] == hit["_hit"], "left_anti")
+    """The documents without a confirmed overlap, unchanged; rows with a null id are one document."""
+    id_column = options.get("id_column", "doc_id")
+    hit = overlaps(docs, benchmark, **options).select("doc_id").distinct().alias("hit")
+    return docs.alias("own").join(hit, F.col(f"own.{id_column}").eqNullSafe(F.col("hit.doc_id")), "left_anti")

@@ -30,8 +30,8 @@ GRAMS = (3, 5)
 HASHES = 3
 #: log2 of the filter's places.
 PLACES = 20
-#: The model's capacity: n-grams a language keeps for each length, the most frequent first.
-KEPT = 30_000
+#: A language keeps an n-gram that makes up this part of its n-grams of that length or more, so no more than 1 / LEAST_SHARE.
+LEAST_SHARE = 1e-5
 #: A language keeps an n-gram if its share of the language's n-grams is at least this part of the highest share in any.
 SHARE = 0.3
 #: Undetermined: no letter.
@@ -137,15 +137,14 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model | No
     counted = cut(counted)
     size = F.expr("shiftright(gram, 56)")
     totals = counted.groupBy("lang", size.alias("size")).agg(F.sum("n").alias("total"))
-    shares = counted.withColumn("size", size).join(F.broadcast(totals), ["lang", "size"]).withColumn("share", F.col("n") / F.col("total"))
+    shares = counted.withColumn("size", size).join(F.broadcast(totals), ["lang", "size"]).withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= LEAST_SHARE)
     best = shares.withColumn("best", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") >= SHARE * F.col("best"))
-    order = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram")
-    own = best.where("n > 1").withColumn("at", F.row_number().over(order)).where(F.col("at") <= KEPT).select("lang", "gram")
+    own = best.select("lang", "gram")
     langs = sorted(r[0] for r in totals.select("lang").distinct().collect())
     if not langs:
         return None
     table = np.zeros((1 << PLACES, (len(langs) + 63) // 64), np.uint64)
-    kept = own.toPandas()  # at most KEPT for each language and length
+    kept = own.toPandas()  # at most 1 / LEAST_SHARE for each language and length
     for k, name in enumerate(langs):
         h = kept.loc[kept["lang"] == name, "gram"].to_numpy().astype(np.uint64)
         for _ in range(HASHES):

@@ -70,29 +70,30 @@ def systematic_mix(docs: DataFrame, seed: str = "mix", most: int = MOST, weights
 
     Null text has size 0. Rows without source are a source of their own, the last. Repeated rows are rows of their
     own; which of several with the same source, size and doc_id gets a copy more doesn't show. A document of size 0 takes
-    part but adds no words. An empty table gives an empty one. Other columns of docs pass through; columns of docs
+    part but adds no words. An empty table gives an empty one. Other columns of docs pass through, whatever their names; columns of docs
     named like ours (size, source_size, target, copies) are replaced.
     """
-    ours = ("size", "source_size", "target", "copies", "_part", "_rank", "_base", "_rate")
-    rows = docs.drop(*ours).withColumn("size", size_of(F.col("text"))).withColumn("_part", part_of(F.col("doc_id")))
-    counted = rows.groupBy("source", "size", "_part").agg(F.count("*").alias("n"))
+    ours = ("size", "source_size", "target", "copies")
+    others = [c for c in docs.columns if c not in ours]
+    rows = docs.select(F.struct(*others).alias("row")).select("row", F.col("row.source").alias("source"), size_of(F.col("row.text")).alias("size"), part_of(F.col("row.doc_id")).alias("part"))
+    counted = rows.groupBy("source", "size", "part").agg(F.count("*").alias("n"))
     by_size = counted.groupBy("source", "size").agg(F.sum("n").alias("n"))
     by_source = by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     aimed = targets(by_source, most, weights)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     up_to = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy("source", "size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_size.withColumn("below", F.coalesce(F.sum("n").over(up_to), F.lit(0))).drop("n")
     parts = counted.withColumn("inner", F.coalesce(F.sum("n").over(within), F.lit(0)))
     joined = parts.alias("p").join(bases.alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")) & (F.col("p.size") == F.col("b.size")))
-    joined = joined.select(F.col("p.source").alias("source"), F.col("p.size").alias("size"), "_part", (F.col("below") + F.col("inner")).alias("_base"))
+    joined = joined.select(F.col("p.source").alias("source"), F.col("p.size").alias("size"), "part", (F.col("below") + F.col("inner")).alias("base"))
     placed = joined.alias("j").join(
-        aimed.select("source", "source_size", "target", rate.alias("_rate")).alias("t"),
+        aimed.select("source", "source_size", "target", rate.alias("rate")).alias("t"),
         F.col("j.source").eqNullSafe(F.col("t.source")),
-    ).select(F.col("j.source").alias("_s"), F.col("j.size").alias("_z"), F.col("j._part").alias("_p"), "_base", "source_size", "target", "_rate")
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("source", "size", "_part").orderBy("doc_id")).cast("long"))
-    out = ranked.join(placed, ranked["source"].eqNullSafe(placed["_s"]) & (ranked["size"] == placed["_z"]) & (ranked["_part"] == placed["_p"]))
-    end = F.col("_base") + F.col("_rank")
+    ).select(F.col("j.source").alias("s"), F.col("j.size").alias("z"), F.col("j.part").alias("p"), "base", "source_size", "target", "rate")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("row.doc_id")).cast("long"))
+    out = ranked.join(placed, ranked["source"].eqNullSafe(placed["s"]) & (ranked["size"] == placed["z"]) & (ranked["part"] == placed["p"]))
+    end = F.col("base") + F.col("rank")
     u = offset(F.col("source"), seed)
-    copies = F.floor(end * F.col("_rate") + u) - F.floor((end - 1) * F.col("_rate") + u)
-    return out.withColumn("copies", copies.cast("long")).drop("_part", "_rank", "_base", "_rate", "_s", "_z", "_p")
+    copies = F.floor(end * F.col("rate") + u) - F.floor((end - 1) * F.col("rate") + u)
+    return out.select(*[F.col("row")[c].alias(c) for c in others], "size", "source_size", "target", copies.cast("long").alias("copies"))

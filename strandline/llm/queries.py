@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import compact_windows, decontam, html_text, jaccard_join, langid, line_dedup, matroska, mixing, toxicity, warc
-from strandline.llm.common import shared_dir, table
+from strandline.llm.common import cut, shared_dir, table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +17,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     records = warc.read_archives(spark, path)
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    records = records.select(page("record_id").alias("page_id"), "payload_bytes", F.col("digest"), F.col("kind").alias("record_type"), page("refers").alias("refers_to"))
-    stored = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), F.col("digest").alias("full_digest")).agg(F.max("payload_bytes").alias("full_bytes"))
-    revisits = records.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to").join(stored, "refers_to")
-    full = revisits.select("page_id", F.col("full_bytes").alias("payload_bytes"), F.col("full_digest").alias("payload_digest"), "record_type", "refers_to")
+    records = records.select(page("record_id").alias("page_id"), "payload_bytes", F.col("digest"), F.col("kind").alias("record_type"), page("refers").alias("refers_to"), F.regexp_replace("declared", "^sha1:", "").alias("declared"))
+    # A page may have been fetched more than once, so a revisit means the response with the payload that it declares.
+    stored = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), F.col("digest").alias("declared")).agg(F.max("payload_bytes").alias("full_bytes"))
+    stored = cut(stored.join(records.where("refers_to is not null").select("refers_to", "declared").distinct(), ["refers_to", "declared"], "left_semi"))
+    revisits = records.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "declared").join(stored, ["refers_to", "declared"])
+    full = revisits.select("page_id", F.col("full_bytes").alias("payload_bytes"), F.col("declared").alias("payload_digest"), "record_type", "refers_to")
     return records.where("record_type = 'response'").select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to").unionByName(full)
 
 
@@ -85,12 +87,16 @@ FROM r""",
 WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 x AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS no FROM s),
 b AS (SELECT *, length(trim(line, ' ')) > 0 AS solid FROM x),
-n AS (SELECT *, lead(line) OVER w AS line2, lead(no) OVER w AS no2 FROM b WHERE solid WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
-f AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, no) > 1 AS copy1,
-  line2 IS NOT NULL AND row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, no) > 1 AS copy2 FROM n),
-g AS (SELECT *, coalesce(lag(copy2) OVER (PARTITION BY doc_id ORDER BY no), false) AS tail2 FROM f),
-gone AS (SELECT doc_id, no FROM g WHERE (copy1 AND length(line) >= 20) OR copy2 OR tail2
-  UNION SELECT b.doc_id, b.no FROM b JOIN g ON b.doc_id = g.doc_id AND g.copy2 AND b.no > g.no AND b.no < g.no2 WHERE NOT b.solid),
+n AS (SELECT doc_id, line, no, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS pos FROM b WHERE solid),
+f AS (
+SELECT doc_id, no, 1 AS depth, list(line) OVER w AS run, sum(length(line)) OVER w AS chars, max(no) OVER w AS last FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 0 FOLLOWING)
+ UNION ALL SELECT doc_id, no, 2 AS depth, list(line) OVER w AS run, sum(length(line)) OVER w AS chars, max(no) OVER w AS last FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)
+ UNION ALL SELECT doc_id, no, 4 AS depth, list(line) OVER w AS run, sum(length(line)) OVER w AS chars, max(no) OVER w AS last FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)
+ UNION ALL SELECT doc_id, no, 8 AS depth, list(line) OVER w AS run, sum(length(line)) OVER w AS chars, max(no) OVER w AS last FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)
+ UNION ALL SELECT doc_id, no, 16 AS depth, list(line) OVER w AS run, sum(length(line)) OVER w AS chars, max(no) OVER w AS last FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)
+ UNION ALL SELECT doc_id, no, 32 AS depth, list(line) OVER w AS run, sum(length(line)) OVER w AS chars, max(no) OVER w AS last FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING)),
+c AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, no) > 1 AS copy FROM f WHERE len(run) = depth),
+gone AS (SELECT DISTINCT b.doc_id, b.no FROM b JOIN c ON b.doc_id = c.doc_id AND b.no BETWEEN c.no AND c.last WHERE c.copy AND c.chars >= 20),
 k AS (SELECT b.*, gone.no IS NOT NULL AS removed FROM b LEFT JOIN gone ON b.doc_id = gone.doc_id AND b.no = gone.no),
 t AS (SELECT doc_id, CASE WHEN bool_or(solid AND NOT removed) OR NOT bool_or(removed) THEN coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT removed), '') ELSE '' END AS text,
   CAST(count(*) FILTER (WHERE removed) AS INTEGER) AS lines_removed FROM k GROUP BY doc_id)
