@@ -38,10 +38,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group linked by a Jaccard similarity of 0.8 of five-word shingles: that with the smallest
     id. Rows without an id stay; of rows with the same id and text one stays."""
     judged = jaccard_join.jaccard_components(docs, n=NEAR_WORDS, hundredths=NEAR_HUNDREDTHS).where("doc_id is not null")
-    kept = judged.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
-    out = docs.join(kept, docs["doc_id"] == kept["_id"])
-    once = out.where("_n = 1").select(docs.columns)
-    again = out.where("_n > 1").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    kept = judged.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).alias("kept")
+    out = docs.alias("own").join(kept, F.col("own.doc_id") == F.col("kept.doc_id"))
+    own = [F.col(f"own.`{c}`") for c in docs.columns]
+    once = out.where("kept.n = 1").select(own)
+    again = out.where("kept.n > 1").select(own).dropDuplicates(["doc_id", "text"])
     return once.union(again).union(docs.where("doc_id is null"))
 
 
