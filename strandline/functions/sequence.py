@@ -34,18 +34,23 @@ def folded(text: Column) -> Column:
     return F.translate(F.regexp_replace(text, "[^A-Za-z]", ""), _LOWER + _UPPER, cycle + cycle)
 
 
+#: Two bits a base fit a long up to this length.
+MOST_PACKED = 31
+
+
 def kmer_code(kmer: Column) -> Column:
-    """Two bits a base, for 31 bases or fewer; sorts as the string does among equal lengths."""
+    """Two bits a base, for MOST_PACKED bases or fewer; sorts as the string does among equal lengths."""
     return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("long")
 
 
-def kmers(sequences: DataFrame, k: int, id_column: str = "seq_id", bases: str = "bases") -> DataFrame:
-    """(id, pos, kmer) of every window of k canonical bases."""
+def kmers(sequences: DataFrame, k: int, id_column: str = "seq_id", bases: str = "bases", packed: bool = False) -> DataFrame:
+    """(id, pos, kmer) of every window of k canonical bases; ``packed``, the k-mer is a long of two bits a base."""
     n = F.length(bases)
     # As bytes: a place in a string is found by counting characters from its begin, one in bytes at once.
     rows = sequences.select(id_column, F.col(bases).cast("binary").alias("_bytes"), F.explode(F.when(n >= k, F.sequence(F.lit(0), n - k))).alias("pos"))
     kmer = F.expr(f"cast(substring(_bytes, pos + 1, {k}) as string)")
-    return rows.select(id_column, F.col("pos").cast("long").alias("pos"), kmer.alias("kmer")).where(~F.contains("kmer", F.lit("N")))
+    found = rows.select(id_column, F.col("pos").cast("long").alias("pos"), kmer.alias("kmer")).where(~F.contains("kmer", F.lit("N")))
+    return found.withColumn("kmer", kmer_code(F.col("kmer"))) if packed else found
 
 
 def canonical_runs(sequences: DataFrame, id_column: str = "seq_id", bases: str = "bases") -> DataFrame:

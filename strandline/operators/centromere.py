@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,29 +120,23 @@ def directed_anchors(matches: DataFrame, found: DataFrame) -> DataFrame:
     )
 
     def chain(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        from math import log2
-
         pair, region, strand = key
         items = sorted((int(q), int(r), int(n), float(w)) for q, r, n, w in zip(rows["qb"], rows["rb"], rows["len"], rows["weight"], strict=True))
-        best: list[tuple[float, int]] = []
-        for i, (q, r, n, w) in enumerate(items):
-            score, back = w, -1
-            for j in range(i):
-                x, y, m, _ = items[j]
-                dq = q - x - m
-                dr = r - y - m if strand == "+" else y - r - n
-                if dq < 0 or dr < 0:
-                    continue
-                cost = 2 * log2(abs(dq - dr) + 1)
-                value = best[j][0] + (w - cost if w > cost else 0.1)
-                if value > score:
-                    score, back = value, j
-            best.append((score, back))
-        at = max(range(len(items)), key=lambda k: (best[k][0], -k), default=-1)
+        q, r, n, w = (np.array(c) for c in zip(*items, strict=True)) if items else (np.zeros(0),) * 4
+        best, link = w.astype(float), np.full(len(items), -1)
+        for i in range(1, len(items)):
+            dq = q[i] - q[:i] - n[:i]
+            dr = r[i] - r[:i] - n[:i] if strand == "+" else r[:i] - r[i] - n[i]
+            cost = 2 * np.log2(np.abs(dq - dr) + 1)
+            value = np.where((dq >= 0) & (dr >= 0), best[:i] + np.where(w[i] > cost, w[i] - cost, 0.1), -np.inf)
+            j = int(value.argmax())
+            if value[j] > best[i]:
+                best[i], link[i] = value[j], j
+        at = int(best.argmax()) if items else -1
         path = []
         while at >= 0:
             path.append(items[at])
-            at = best[at][1]
+            at = int(link[at])
         path.reverse()
         if strand == "-":
             path.reverse()  # the order of the reference
@@ -162,80 +157,106 @@ def unanchored(anchors: DataFrame, found: DataFrame, extents: DataFrame) -> Data
     return gaps.unionByName(outside)
 
 
-def copy_jobs(anchors: DataFrame, extents: DataFrame) -> DataFrame:
-    """(pair_id, axis, begin, end, job): what the anchors leave open on either axis, largest first; extents: (pair_id, reference_length, query_length)."""
-    out = None
-    for axis in ("reference", "query"):
-        cover = anchors.select("pair_id", F.col(f"{axis}_begin").alias("begin"), F.col(f"{axis}_end").alias("end"))
-        gaps = intervals.complement(cover, extents.select("pair_id", F.col(f"{axis}_length").alias("length")), ["pair_id"]).withColumn("axis", F.lit(axis))
-        out = gaps if out is None else out.unionByName(gaps)
-    order = Window.partitionBy("pair_id").orderBy(F.desc(F.col("end") - F.col("begin")), "axis", "begin")
-    return out.withColumn("job", F.row_number().over(order))
+#: Cells up to which a gap counts as small; larger ones are aligned in bands of diagonals.
+SMALL_CELLS = 4_000_000
 
 
-def stitch(anchors: DataFrame, reference: DataFrame, queries: DataFrame, most_cells: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
-    """(segments, gaps): anchors joined across completed gaps.
+def numbered(anchors: DataFrame) -> DataFrame:
+    """With anchor_id: from 1 along a pair's regions and their chains."""
+    return anchors.withColumn("anchor_id", F.row_number().over(Window.partitionBy("pair_id").orderBy("region_id", "chain_index")).cast("long"))
 
-    gaps: (pair_id, region_id, chain_index, rb, re, qb, qe, strand, engine, status, reason, cigar) between neighbours that don't
-    touch. segments: (pair_id, segment_id, region_id, strand, rb, re, qb, qe, anchors, cigar, score, matches, edits); a new one begins with
-    each region and after each gap that isn't complete.
-    """
+
+def gaps_between(anchors: DataFrame) -> DataFrame:
+    """(pair_id, region_id, chain_index, left_anchor_id, right_anchor_id, strand, rb, re, qb, qe, gap_id): what lies between neighbours of a chain that don't touch on both sequences."""
     order = Window.partitionBy("pair_id", "region_id").orderBy("chain_index")
     plus = F.col("strand") == "+"
-    pairs = anchors.select("*", *[F.lead(c).over(order).alias(f"n_{c}") for c in ("reference_begin", "query_begin", "query_end")]).where("n_reference_begin is not null")
+    pairs = anchors.select("*", *[F.lead(c).over(order).alias(f"n_{c}") for c in ("reference_begin", "query_begin", "query_end", "anchor_id")]).where("n_reference_begin is not null")
     gap = pairs.select(
-        "pair_id", "region_id", "chain_index", "strand", F.col("reference_end").alias("rb"), F.col("n_reference_begin").alias("re"),
+        "pair_id", "region_id", "chain_index", F.col("anchor_id").alias("left_anchor_id"), F.col("n_anchor_id").alias("right_anchor_id"), "strand", F.col("reference_end").alias("rb"), F.col("n_reference_begin").alias("re"),
         F.when(plus, F.col("query_end")).otherwise(F.col("n_query_end")).alias("qb"), F.when(plus, F.col("n_query_begin")).otherwise(F.col("query_begin")).alias("qe"),
     ).where("re > rb or qe > qb")
+    return gap.withColumn("gap_id", F.row_number().over(Window.partitionBy("pair_id").orderBy("region_id", "chain_index")).cast("long"))
+
+
+def stitch(anchors: DataFrame, reference: DataFrame, queries: DataFrame, most_cells: int = kernels.MOST_CELLS, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(segments, gaps): anchors joined across completed gaps.
+
+    gaps: (pair_id, gap_id, path_id, path_role, region_id, branch_id, chain_index, left_anchor_id, right_anchor_id, strand, rb, re, qb, qe, engine, status, reason, cigar, score, dp_cells)
+    between neighbours that don't touch. segments: (pair_id, segment_id, path_id, path_role, region_id, branch_id, strand, rb, re, qb, qe, anchors, anchor_ids, gap_ids, cigar, score, matches, edits); a new one begins with
+    each region and after each gap that isn't complete. ``known`` (pair_id, region_id, strand, rb, re, qb, qe, cigar) has gaps that were reviewed before: they are taken as they are.
+    """
+    anchors = numbered(anchors)
+    order = Window.partitionBy("pair_id", "region_id").orderBy("chain_index")
+    gap = gaps_between(anchors)
+    columns = gap.columns
+    given = ["pair_id", "region_id", "strand", "rb", "re", "qb", "qe"]
+    if known is None:
+        gap = gap.withColumn("given", F.lit(None).cast(cigar.TYPE))
+    else:
+        gap = gap.join(known.select(*given, F.col("cigar").alias("given")).dropDuplicates(given), given, "left")
     refs = reference.select(F.col("seq_id").alias("pair_id"), F.col("bases").alias("r"))
     qs = queries.select(F.col("seq_id").alias("pair_id"), F.col("bases").alias("q"))
     part = lambda s, b, e: F.expr(f"cast(substring(cast({s} as binary), int({b} + 1), int({e} - {b})) as string)")
-    bases = gap.join(refs, "pair_id").join(qs, "pair_id").select(*gap.columns, part("r", "rb", "re").alias("ref_part"), part("q", "qb", "qe").alias("query_part"))
+    bases = gap.join(refs, "pair_id").join(qs, "pair_id").select(*columns, "given", part("r", "rb", "re").alias("ref_part"), part("q", "qb", "qe").alias("query_part"))
 
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            engines, states, reasons, paths = [], [], [], []
-            for ref, query, strand in zip(rows["ref_part"], rows["query_part"], rows["strand"], strict=True):
-                found = kernels.global_alignment(ref, query if strand == "+" else kernels.reverse_complement(query), kernels.CENTROMERE, most_cells)
-                engines.append("geometry" if not ref or not query else "dp")
-                states.append("unresolved" if found is None else "complete")
-                reasons.append("kernel_numerical_size_limit" if found is None else "")
-                paths.append([{"op": op, "len": n} for op, n in (found[0] if found else [])])
-            yield rows.drop(columns=["ref_part", "query_part"]).assign(engine=engines, status=states, reason=reasons, cigar=paths)
-
-    gaps = bases.mapInPandas(close, f"pair_id long, region_id long, chain_index long, strand string, rb long, re long, qb long, qe long, engine string, status string, reason string, cigar {cigar.TYPE}").persist()
-    known = anchors.join(gaps.select("pair_id", "region_id", "chain_index", F.col("status"), F.col("cigar").alias("gap")), ["pair_id", "region_id", "chain_index"], "left")
+            out = []
+            for ref, query, strand, path in zip(rows["ref_part"], rows["query_part"], rows["strand"], rows["given"], strict=True):
+                query = query if strand == "+" else kernels.reverse_complement(query)
+                cells = (len(ref) + 1) * (len(query) + 1)
+                if path is not None:
+                    fixed = [(c["op"], int(c["len"])) for c in path]
+                    out.append(("review", "complete", "", fixed, kernels.replay(fixed, ref, query, kernels.CENTROMERE)[1], 0))
+                    continue
+                found = kernels.global_alignment(ref, query, kernels.CENTROMERE, most_cells)
+                engine = "geometry" if not ref or not query else "dp" if cells <= SMALL_CELLS else "banded"
+                if found is None:
+                    out.append((engine, "unresolved", "kernel_numerical_size_limit", [], None, 0))
+                else:
+                    out.append((engine, "complete", "", *found, cells if engine == "dp" else 0))
+            engines, states, reasons, paths, totals, counts = zip(*out, strict=True) if out else ([],) * 6
+            cigars = [[{"op": op, "len": n} for op, n in path] for path in paths]
+            yield rows.drop(columns=["ref_part", "query_part", "given"]).assign(engine=list(engines), status=list(states), reason=list(reasons), cigar=cigars, score=pd.array(list(totals), "Int64"), dp_cells=list(counts))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in gap.select(columns).schema) + f", engine string, status string, reason string, cigar {cigar.TYPE}, score long, dp_cells long"
+    path = {"path_id": F.col("region_id"), "path_role": F.lit("primary"), "branch_id": F.lit(0).cast("long")}
+    gaps = bases.mapInPandas(close, schema).withColumns(path).persist()
+    closed = gaps.where("status = 'complete'").select("pair_id", "region_id", "chain_index", "status", F.col("cigar").alias("gap"), "gap_id")
+    left = gaps.where("status <> 'complete'").select("pair_id", "region_id", "chain_index", "status", F.lit(None).cast(cigar.TYPE).alias("gap"), F.lit(None).cast("long").alias("gap_id"))
+    joined = anchors.join(closed.union(left), ["pair_id", "region_id", "chain_index"], "left")
     breaks = F.when(F.lag("chain_index").over(order).isNull() | (F.lag(F.coalesce("status", F.lit("complete"))).over(order) == "unresolved"), 1).otherwise(0)
     whole = Window.partitionBy("pair_id").orderBy("region_id", "chain_index")
-    placed = known.withColumn("_b", breaks).withColumn("segment_id", F.sum("_b").over(whole.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = joined.withColumn("_b", breaks).withColumn("segment_id", F.sum("_b").over(whole.rowsBetween(Window.unboundedPreceding, 0)))
     own = F.array(F.struct(F.lit("=").alias("op"), F.col("length").cast("long").alias("len")))
     after = F.when(F.col("status") == "complete", F.col("gap")).otherwise(F.array().cast(cigar.TYPE))
-    parts = F.array_sort(F.collect_list(F.struct("chain_index", F.concat(own, after).alias("path"))))
+    parts = F.array_sort(F.collect_list(F.struct("chain_index", F.concat(own, after).alias("path"), "anchor_id", "gap_id")))
     merged = placed.groupBy("pair_id", "segment_id", "region_id", "strand").agg(
         F.min("reference_begin").alias("rb"), F.max("reference_end").alias("re"), F.min("query_begin").alias("qb"), F.max("query_end").alias("qe"), F.count("*").alias("anchors"), parts.alias("parts")
     )
-    path = cigar.merged(F.flatten(F.transform("parts", lambda p: p["path"])))
-    segments = merged.withColumn("cigar", path).drop("parts")
+    ids = {"anchor_ids": F.transform("parts", lambda p: p["anchor_id"]), "gap_ids": F.filter(F.transform("parts", lambda p: p["gap_id"]), lambda x: x.isNotNull())}
+    segments = merged.withColumns(ids | path).withColumn("cigar", cigar.merged(F.flatten(F.transform("parts", lambda p: p["path"])))).drop("parts")
     c = F.col("cigar")
     return segments.select("*", scoring.stitched_score(c).alias("score"), cigar.matches(c).alias("matches"), cigar.edits(c).alias("edits")), gaps
 
 
 def disjoint_flags(segments: DataFrame) -> DataFrame:
-    """With flag: 0 for a query's representative (most paired bases, then the lowest id), 2048 for a later one that overlaps none
+    """With flag: 0 for a query's representative (of the primary paths, most paired bases, then the lowest id), 2048 for a later one that overlaps none
     admitted before on the query, 256 for one that does; 16 more on the reverse strand. What isn't admitted takes no room."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         paired = [sum(int(c["len"]) for c in path if c["op"] in "=X") for path in rows["cigar"]]
-        rows = rows.assign(_p=paired).sort_values(["_p", "segment_id"], ascending=[False, True])
+        rows = rows.assign(_p=paired).sort_values(["copy", "_p", "segment_id"], ascending=[True, False, True])
         first = rows.iloc[0]["segment_id"]
         taken: list[tuple[int, int]] = []
         flags = {}
-        for r in [rows.iloc[0], *[x for _, x in rows.sort_values("segment_id").iterrows() if x["segment_id"] != first]]:
+        for r in [rows.iloc[0], *[x for _, x in rows.sort_values(["copy", "segment_id"]).iterrows() if x["segment_id"] != first]]:
             free = all(r["qe"] <= b or r["qb"] >= e for b, e in taken)
             if free:
                 taken.append((r["qb"], r["qe"]))
             flags[r["segment_id"]] = (0 if r["segment_id"] == first else 2048 if free else 256) + (16 if r["strand"] == "-" else 0)
         return pd.DataFrame({"pair_id": rows["pair_id"], "segment_id": rows["segment_id"], "flag": [flags[s] for s in rows["segment_id"]]})
 
-    flags = segments.select("pair_id", "segment_id", "strand", "qb", "qe", "cigar").groupBy("pair_id").applyInPandas(run, "pair_id long, segment_id long, flag int")
+    copy = F.col("path_role") != "primary" if "path_role" in segments.columns else F.lit(False)
+    flags = segments.select("pair_id", "segment_id", "strand", "qb", "qe", "cigar", copy.alias("copy")).groupBy("pair_id").applyInPandas(run, "pair_id long, segment_id long, flag int")
     return segments.join(flags, ["pair_id", "segment_id"])

@@ -9,6 +9,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,43 +29,55 @@ class ChainOptions:
 Seed = tuple[int, int, int]  # rb, qb, len
 
 
+def _loser(a: Seed, b: Seed) -> Seed | None:
+    """Of two seeds that begin at the same place on one sequence, that which yields: the shorter one if the other covers half of it
+    or more. An equally long one yields to neither at first (the later one, b, is returned)."""
+    axis = 1 if a[0] == b[0] else 0  # where they differ
+    short = b if b[2] <= a[2] else a
+    return short if a[axis] + a[2] - b[axis] >= short[2] // 2 else None
+
+
 def filtered(seeds: list[Seed]) -> list[Seed]:
-    """Seeds in order of (qb, rb, len), those on one diagonal merged where they meet, and of two that begin at the same place
-    on either sequence the shorter one dropped if half of it overlaps; of equally long ones the later is doubtful, and dropped if doubtful twice."""
-    rows = [[qb, rb, n, True, False] for rb, qb, n in sorted(seeds, key=lambda s: (s[1], s[0], s[2]))]
-    for i, a in enumerate(rows):
-        if not a[3]:
-            continue
-        end = a[0] + a[2]
-        for b in rows[i + 1 :]:
-            if b[0] > end:
+    """Seeds in order of (qb, rb, len): those of one diagonal that meet are one, and of two that begin at the same place on either sequence the
+    shorter yields to the longer if half of it or more is reached. Of equally long ones the later is in doubt, and one in doubt yields to a later equal."""
+    # Islands along each diagonal.
+    by_diagonal: dict[int, list[list[int]]] = {}
+    for rb, qb, n in sorted(seeds, key=lambda s: (s[1], s[0], s[2])):
+        island = by_diagonal.setdefault(qb - rb, [])
+        if island and qb <= island[-1][1]:
+            island[-1][1] = max(island[-1][1], qb + n)
+        else:
+            island.append([qb, qb + n])
+    whole = sorted(((b - d, b, e - b) for d, spans in by_diagonal.items() for b, e in spans), key=lambda s: (s[1], s[0], s[2]))
+    # Rivals: the seeds behind one, in order, that begin where it does and are reached by it.
+    rivals: list[list[int]] = [[] for _ in whole]
+    for own, other in ((0, 1), (1, 0)):
+        groups: dict[int, list[int]] = {}
+        for k, s in enumerate(whole):
+            groups.setdefault(s[own], []).append(k)
+        for group in groups.values():
+            group.sort(key=lambda k: (whole[k][other], k))
+            for at, k in enumerate(group):
+                for x in group[at + 1 :]:
+                    if whole[x][other] > whole[k][other] + whole[k][2]:
+                        break
+                    rivals[min(k, x)].append(max(k, x))
+    out: set[int] = set(range(len(whole)))
+    doubted: set[int] = set()
+    for k in range(len(whole)):
+        for x in sorted(rivals[k]):
+            if k not in out:
                 break
-            if not b[3]:
-                continue
-            if a[0] - a[1] == b[0] - b[1]:
-                a[2] = max(a[2], b[0] + b[2] - a[0])
-                end = max(end, a[0] + a[2])
-                b[3] = False
+            yields = _loser(whole[k], whole[x]) if x in out else None
+            if yields is None:
                 continue
-            if a[1] == b[1]:
-                shared = a[0] + a[2] - b[0]
-            elif a[0] == b[0]:
-                shared = a[1] + a[2] - b[1]
+            if whole[k][2] == whole[x][2]:
+                doubted.add(x)
+                if k in doubted:
+                    out.discard(k)
             else:
-                continue
-            if a[2] < b[2]:
-                if shared >= a[2] // 2:
-                    a[3] = False
-                    break
-            elif b[2] < a[2]:
-                if shared >= b[2] // 2:
-                    b[3] = False
-            elif shared >= a[2] // 2:
-                b[4] = True
-                if a[4]:
-                    a[3] = False
-                    break
-    return [(r[1], r[0], r[2]) for r in rows if r[3]]
+                out.discard(k if yields is whole[k] else x)
+    return [whole[k] for k in sorted(out)]
 
 
 def clusters(seeds: list[Seed], strand: str, options: ChainOptions) -> list[list[Seed]]:
@@ -95,23 +108,22 @@ def best_chain(seeds: list[Seed], strand: str) -> list[Seed]:
     """The chain of largest length less diagonal shifts. Neighbours have a base or more between them on both sequences;
     on the reverse strand the reference falls as the query rises. Of equal ones the first is taken."""
     rows = sorted(seeds, key=lambda s: (s[1], s[0], s[2]))
-    sign = 1 if strand == "+" else -1
-    score, back = [], []
-    for i, (rb, qb, n) in enumerate(rows):
-        best, link = n, -1
-        for j in range(i):
-            r, q, m = rows[j]
-            if qb > q + m and (rb > r + m if strand == "+" else rb + n < r):
-                value = score[j] + n - abs((sign * qb - rb) - (sign * q - r))
-                if value > best:
-                    best, link = value, j
-        score.append(best)
-        back.append(link)
-    at = max(range(len(rows)), key=lambda k: (score[k], -k), default=-1)
+    if not rows:
+        return []
+    r, q, n = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+    diagonal = (q if strand == "+" else -q) - r
+    score, back = n.copy(), np.full(len(rows), -1)
+    for i in range(1, len(rows)):
+        ahead = (q[i] > q[:i] + n[:i]) & ((r[i] > r[:i] + n[:i]) if strand == "+" else (r[i] + n[i] < r[:i]))
+        value = np.where(ahead, score[:i] + n[i] - np.abs(diagonal[i] - diagonal[:i]), -1)
+        j = int(value.argmax())
+        if value[j] > score[i]:
+            score[i], back[i] = value[j], j
+    at = int(score.argmax())
     out = []
     while at >= 0:
         out.append(rows[at])
-        at = back[at]
+        at = int(back[at])
     return out[::-1]
 
 

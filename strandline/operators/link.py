@@ -52,8 +52,8 @@ def anchor_of(chain: list[Seed], ref: str, query: str) -> Anchor | None:
 
 
 def linked(anchors: list[Anchor], ref: str, query: str) -> list[Anchor]:
-    """Anchors joined to the nearest next one as long as the gap between them closes; one that can't go on is tried
-    against those already given out, from which it takes over the gap. What a link passes over and encloses is dropped."""
+    """Anchors that grow over the nearest next one as long as the gap to it closes. One that can't go on takes over the gap to that of those
+    given out before which is nearest, if it closes. What it encloses up to the one it couldn't reach is dropped, and so is what begins before its end on the reference."""
     todo = sorted(anchors, key=lambda a: (a.rb, a.qb, a.re))
     used = [False] * len(todo)
     out: list[Anchor] = []
@@ -61,18 +61,32 @@ def linked(anchors: list[Anchor], ref: str, query: str) -> list[Anchor]:
     def gap(a: Anchor, b: Anchor) -> tuple[int, int]:
         return b.rb - a.re, b.qb - a.qe
 
-    def nearest(pairs: list[tuple[int, int, int]]) -> int | None:
-        best = None
-        for k, r, q in pairs:
-            if r < 0 or q < 0:
+    def cost(r: int, q: int) -> int:
+        return 2 * max(r, q) - min(r, q)
+
+    def ahead(now: Anchor, at: int) -> int | None:
+        """The first unused one that is near in either sense, else that of least cost."""
+        best, looked = None, 0
+        for k in range(at + 1, len(todo)):
+            if used[k]:
+                continue
+            looked += 1
+            if looked > LOOK:
+                break
+            r, q = gap(now, todo[k])
+            if min(r, q) < 0:
                 continue
-            high, low = max(r, q), min(r, q)
-            if high < NEAR or high - low <= NEAR:
+            if max(r, q) < NEAR or abs(r - q) <= NEAR:
                 return k
-            if best is None or 2 * high - low < best[0]:
-                best = (2 * high - low, k)
+            if best is None or cost(r, q) < best[0]:
+                best = (cost(r, q), k)
         return None if best is None else best[1]
 
+    def behind(now: Anchor) -> Anchor | None:
+        """Of those given out last, that of least cost within reach; of equal ones the latest."""
+        gaps = [(cost(r, q), -k) for k, (r, q) in enumerate(gap(o, now) for o in out[-LOOK:]) if 0 <= min(r, q) and max(r, q) <= REACH]
+        return out[-LOOK:][-min(gaps)[1]] if gaps else None
+
     def closed(a: Anchor, b: Anchor) -> Cigar | None:
         r, q = gap(a, b)
         if r > REACH or q > REACH:
@@ -82,32 +96,25 @@ def linked(anchors: list[Anchor], ref: str, query: str) -> list[Anchor]:
         found = kernels.extension(ref[a.re : b.rb], query[a.qe : b.qb])
         return None if found is None else found[0]
 
-    for first in range(len(todo)):
-        if used[first]:
-            continue
-        used[first] = True
-        now, at = todo[first], first
+    at = 0
+    while at < len(todo):
+        now = todo[at]
         while True:
-            ahead = [k for k in range(at + 1, len(todo)) if not used[k]][:LOOK]
-            k = nearest([(k, *gap(now, todo[k])) for k in ahead])
-            if k is None:
-                break
-            path = closed(now, todo[k])
-            if path is None:
+            k = ahead(now, at)
+            path = None if k is None else closed(now, todo[k])
+            if k is None or path is None:
                 break
             used[k] = True
             now = Anchor(now.rb, todo[k].re, now.qb, todo[k].qe, kernels.joined(now.cigar, path, todo[k].cigar))
-            for x in ahead:
-                if x < k and todo[x].re <= now.re and todo[x].qe <= now.qe and todo[x].qb >= now.qb:
-                    used[x] = True
-            at = k
-        if at == first and out:
-            k = nearest([(k, *gap(out[k], now)) for k in range(len(out) - 1, max(-1, len(out) - 1 - LOOK), -1)])
-            path = closed(out[k], now) if k is not None else None
-            if path:
-                now = Anchor(out[k].re, now.re, out[k].qe, now.qe, kernels.joined(path, now.cigar))
-        if not any(o.rb <= now.rb and now.re <= o.re and o.qb <= now.qb and now.qe <= o.qe for o in out[-LOOK:]):
-            out.append(now)
+        before = behind(now)
+        path = closed(before, now) if before is not None else None
+        if before is not None and path:
+            now = Anchor(before.re, now.re, before.qe, now.qe, kernels.joined(path, now.cigar))
+        out.append(now)
+        for x in range(at + 1, len(todo) if k is None else k):
+            if todo[x].re <= now.re and todo[x].qe <= now.qe:
+                used[x] = True
+        at = next((x for x in range(at + 1, len(todo)) if not used[x] and todo[x].rb >= now.re), len(todo))
     return out
 
 

@@ -22,12 +22,15 @@ LONGEST = 10_000
 LONGEST_INEXACT = 1_000
 IDENTITY = 0.98
 WORK = 500_000_000
+#: Where an alignment is on the path.
+PLACE = ["ref_id", "ref_rank"]
 
 
 def plan(rows: DataFrame, reference: DataFrame, queries: DataFrame, min_match: int = 20, min_cluster: int = 65) -> DataFrame:
     """Each alignment with its place on the path (ref_rank) and, for the link to the next one: kind (empty, equal, one_sided, dp), or none and why not."""
-    path = Window.orderBy("ref_id", "rb", "re", *ORDER)
-    ranked = rows.withColumn("ref_rank", F.row_number().over(path)).withColumn("query_rank", F.row_number().over(Window.orderBy("query_id", "qb", "qe", "ref_id", "rb")))
+    # Only neighbours on one reference and one query are compared, so ranks count within each.
+    path = Window.partitionBy("ref_id").orderBy("rb", "re", *ORDER)
+    ranked = rows.withColumn("ref_rank", F.row_number().over(path)).withColumn("query_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("qb", "qe", "ref_id", "rb")))
     lead_first = F.element_at("cigar", 1)
     end_exact = F.when(F.element_at("cigar", -1)["op"] == "=", F.element_at("cigar", -1)["len"]).otherwise(0)
     begin_exact = F.when(lead_first["op"] == "=", lead_first["len"]).otherwise(0)
@@ -43,9 +46,9 @@ def plan(rows: DataFrame, reference: DataFrame, queries: DataFrame, min_match: i
     flanks = (F.least("matches", "n_matches") >= min_cluster) & (F.col("end_exact") >= min_match) & (F.col("n_begin_exact") >= min_match) & (F.least("identity", "n_identity") >= IDENTITY)
     pairs = pairs.withColumn("rn", rn).withColumn("qn", qn).withColumn("next_to", F.coalesce(next_to, F.lit(False))).withColumn("flanks", F.coalesce(flanks, F.lit(False)))
     gaps = pairs.where("next_to and rn + qn > 0 and flanks and greatest(rn, qn) <= %d" % LONGEST)
-    named = gaps.select("ref_rank", "ref_id", "query_id", "strand", F.col("gap_rb").alias("rb"), F.col("gap_re").alias("re"), F.col("gap_qb").alias("qb"), F.col("gap_qe").alias("qe"))
-    bases = stretches(named, reference, queries).withColumn("query_part", F.when(F.col("strand") == "+", F.col("query_part")).otherwise(reverse_complement(F.col("query_part")))).select("ref_rank", "ref_part", "query_part")
-    known = pairs.join(bases, "ref_rank", "left")
+    named = gaps.select(*PLACE, "query_id", "strand", F.col("gap_rb").alias("rb"), F.col("gap_re").alias("re"), F.col("gap_qb").alias("qb"), F.col("gap_qe").alias("qe"))
+    bases = stretches(named, reference, queries).withColumn("query_part", F.when(F.col("strand") == "+", F.col("query_part")).otherwise(reverse_complement(F.col("query_part")))).select(*PLACE, "ref_part", "query_part")
+    known = pairs.join(bases, PLACE, "left")
     has_n = F.contains(F.concat("ref_part", "query_part"), F.lit("N"))
     kind = (
         F.when(~F.col("next_to"), F.lit(None))
@@ -60,35 +63,40 @@ def plan(rows: DataFrame, reference: DataFrame, queries: DataFrame, min_match: i
 
 
 def admitted(jobs: DataFrame, budget: int) -> DataFrame:
-    """ref_rank of the jobs that fit the budget, taken by falling identity of the flanks, then rising work; one that doesn't fit is passed over."""
+    """PLACE of the jobs that fit the budget, taken by falling identity of the flanks, then rising work; one that doesn't fit is passed over.
+
+    If all of them fit, no order is needed. Else one task goes through a few numbers a job, as each depends on all admitted before.
+    """
+    if (jobs.agg(F.sum("work")).first()[0] or 0) <= budget:
+        return jobs.select(*PLACE)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left = budget
         for rows in batches:
             kept = []
-            for rank, work in zip(rows["ref_rank"], rows["work"], strict=True):
+            for ref, rank, work in zip(rows["ref_id"], rows["ref_rank"], rows["work"], strict=True):
                 if work <= left:
                     left -= work
-                    kept.append(rank)
-            yield pd.DataFrame({"ref_rank": kept}, dtype="int64")
+                    kept.append((ref, rank))
+            yield pd.DataFrame(kept, columns=PLACE, dtype="int64")
 
-    ordered = jobs.select("ref_rank", "work", "least_identity").repartition(1).sortWithinPartitions(F.desc("least_identity"), "work", "ref_rank")
-    return ordered.mapInPandas(run, "ref_rank long")
+    ordered = jobs.select(*PLACE, "work", "least_identity").where(F.col("work") <= budget).repartition(1).sortWithinPartitions(F.desc("least_identity"), "work", *PLACE)
+    return ordered.mapInPandas(run, "ref_id long, ref_rank int")
 
 
 def _filled(min_cluster: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for rank, ref, query, least in zip(rows["ref_rank"], rows["ref_part"], rows["query_part"], rows["least_identity"], strict=True):
+            for ref_id, rank, ref, query, least in zip(*[rows[c] for c in (*PLACE, "ref_part", "query_part", "least_identity")], strict=True):
                 found = kernels.global_alignment(ref, query)
                 if found is None:
                     continue
                 matches = sum(n for op, n in found[0] if op == "=")
                 columns = sum(n for _, n in found[0])
                 if matches >= min_cluster and matches / columns >= max(IDENTITY, least):
-                    out.append((rank, [{"op": op, "len": n} for op, n in found[0]]))
-            yield pd.DataFrame(out, columns=["ref_rank", "filled"])
+                    out.append((ref_id, rank, [{"op": op, "len": n} for op, n in found[0]]))
+            yield pd.DataFrame(out, columns=[*PLACE, "filled"])
 
     return run
 
@@ -98,7 +106,7 @@ def link_main_path(rows: DataFrame, reference: DataFrame, queries: DataFrame, mi
     planned = plan(rows, reference, queries, min_match, min_cluster).persist()
     sizes = [df.agg(F.sum(F.length("bases"))).first()[0] or 0 for df in (reference, queries)]
     jobs = planned.where("kind = 'dp'")
-    filled = jobs.join(admitted(jobs, min(WORK, *sizes)), "ref_rank").select("ref_rank", "ref_part", "query_part", "least_identity").mapInPandas(_filled(min_cluster), f"ref_rank long, filled {cigar.TYPE}")
+    filled = jobs.join(admitted(jobs, min(WORK, *sizes)), PLACE).select(*PLACE, "ref_part", "query_part", "least_identity").mapInPandas(_filled(min_cluster), f"ref_id long, ref_rank int, filled {cigar.TYPE}")
     one = lambda op, n: F.array(F.struct(F.lit(op).alias("op"), n.cast("long").alias("len")))
     gap = (
         F.when(F.col("kind") == "empty", F.array().cast(cigar.TYPE))
@@ -106,7 +114,7 @@ def link_main_path(rows: DataFrame, reference: DataFrame, queries: DataFrame, mi
         .when(F.col("kind") == "one_sided", F.when(F.col("qn") == 0, one("D", F.col("rn"))).otherwise(one("I", F.col("qn"))))
         .otherwise(F.col("filled"))
     )
-    known = planned.join(filled, "ref_rank", "left").withColumn("gap", gap)
+    known = planned.join(filled, PLACE, "left").withColumn("gap", gap)
     order = Window.partitionBy("ref_id").orderBy("ref_rank")
     breaks = F.when(F.lag("gap").over(order).isNull(), 1).otherwise(0)
     runs = known.withColumn("_break", breaks).withColumn("run", F.sum("_break").over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -13,12 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.sequence import kmers, reverse_complement
+from strandline.functions.sequence import MOST_PACKED, kmers, reverse_complement
 from strandline.operators.intervals import contained, covered_by, union
 
 MODES = ("fast", "mumreference", "mum", "smem", "maxmatch")
 MIN_MATCH = 20
-#: Query k-mers are broadcast up to this number (about 60 bytes each), else both sides are shuffled.
+#: Query k-mers are broadcast up to this number (about 50 bytes each), else both sides are shuffled.
 BROADCAST_KMERS = 500_000
 KEY = ["ref_id", "query_id", "strand"]
 
@@ -29,18 +29,20 @@ def oriented(queries: DataFrame) -> DataFrame:
     return forward.union(forward.select("query_id", F.lit("-"), "length", reverse_complement(F.col("bases"))))
 
 
-def mems(reference: DataFrame, queries: DataFrame, k: int = MIN_MATCH, strands: str = "+-") -> DataFrame:
+def mems(reference: DataFrame, queries: DataFrame, k: int = MIN_MATCH, strands: str = "+-", indexed: DataFrame | None = None) -> DataFrame:
     """All maximal exact matches of k bases or more, with oqb and oqe, the stretch of the oriented query.
 
-    reference and queries: (seq_id, bases).
+    reference and queries: (seq_id, bases). ``indexed`` has the reference's k-mers (seq_id, pos, kmer), packed if k allows, as an index keeps them.
     """
+    packed = k <= MOST_PACKED
     both = oriented(queries).where(F.col("strand").isin(*strands))
-    query_kmers = kmers(both.withColumn("id", F.struct("query_id", "strand", "length")), k, "id")
+    query_kmers = kmers(both.withColumn("id", F.struct("query_id", "strand", "length")), k, "id", packed=packed)
     query_kmers = query_kmers.select("kmer", F.col("pos").alias("j"), "id.*")
     total = both.agg(F.sum("length")).first()[0] or 0
     if total <= BROADCAST_KMERS:
         query_kmers = F.broadcast(query_kmers)
-    hits = kmers(reference, k).select("kmer", F.col("pos").alias("i"), F.col("seq_id").alias("ref_id")).join(query_kmers, "kmer").drop("kmer")
+    own = kmers(reference, k, packed=packed) if indexed is None else indexed
+    hits = own.select("kmer", F.col("pos").alias("i"), F.col("seq_id").alias("ref_id")).join(query_kmers, "kmer").drop("kmer")
     diagonal = Window.partitionBy(*KEY, "diagonal").orderBy("i")
     marked = hits.withColumn("diagonal", F.col("i") - F.col("j")).withColumn("island", F.col("i") - F.row_number().over(diagonal))
     found = marked.groupBy(*KEY, "diagonal", "island").agg(F.min("i").alias("rb"), F.min("j").alias("oqb"), (F.count("*") + (k - 1)).alias("len"), F.first("length").alias("length"))
@@ -93,11 +95,11 @@ def fast(found: DataFrame) -> DataFrame:
     return unique.unionByName(rest)
 
 
-def seeds(reference: DataFrame, queries: DataFrame, mode: str = "fast", k: int = MIN_MATCH, least: int = 1) -> DataFrame:
+def seeds(reference: DataFrame, queries: DataFrame, mode: str = "fast", k: int = MIN_MATCH, least: int = 1, indexed: DataFrame | None = None) -> DataFrame:
     """Distinct seeds of a mode: fast, mumreference (unique in the reference), mum, smem or maxmatch (all)."""
     if mode not in MODES:
         raise ValueError(f"unknown seed mode {mode!r}")
-    found = mems(reference, queries, k)
+    found = mems(reference, queries, k, indexed=indexed)
     chosen = {"fast": fast, "mumreference": mams, "mum": mums, "smem": lambda m: smems(m, k, least), "maxmatch": lambda m: m}[mode](found)
     return chosen.select("ref_id", "rb", "query_id", "qb", "len", "strand").distinct()
 

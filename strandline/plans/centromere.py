@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.errors import InputError
-from strandline.operators import centromere, intervals
+from strandline.operators import centromere, copies, intervals
 
 
 @dataclass
@@ -47,10 +47,11 @@ def align_centromere(reference: DataFrame, queries: DataFrame, directions: DataF
     regions = regions.persist()
     anchors = centromere.directed_anchors(matches, regions).persist()
     both = extents.withColumnRenamed("length", "query_length").join(reference.select(F.col("seq_id").alias("pair_id"), F.length("bases").cast("long").alias("reference_length")), "pair_id")
+    plain = centromere.numbered(anchors).select("pair_id", "anchor_id", F.col("reference_begin").alias("rb"), F.col("query_begin").alias("qb"), F.col("length").alias("len"), "strand")
     segments, gaps = centromere.stitch(anchors, reference, queries)
     segments = segments.persist()
     totals = segments.groupBy("pair_id").agg(F.count("*").alias("segments"), F.sum("matches").alias("matches"), F.sum("edits").alias("edits"), F.sum("score").alias("score"))
     left = gaps.groupBy("pair_id").agg(F.count("*").alias("gaps"), F.count_if(F.col("status") == "unresolved").alias("unresolved"))
     summary = both.join(totals, "pair_id", "left").join(left, "pair_id", "left").fillna(0)
     summary = summary.withColumn("complete", F.col("unresolved") == 0)
-    return Centromere(matches, labels, regions, anchors, centromere.unanchored(anchors, regions, extents), centromere.copy_jobs(anchors, both), gaps, segments, summary)
+    return Centromere(matches, labels, regions, anchors, centromere.unanchored(anchors, regions, extents), copies.jobs(plain, both), gaps, segments, summary)

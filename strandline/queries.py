@@ -1,7 +1,8 @@
 """Queries of the alignment operators over the tables, and the same in SQL.
 
-References are the documents, queries the benchmark items, both with their letters folded to bases. CIGARs come from
-the lines of an order: each line is an operation, its quantity the length.
+References are the documents, queries the benchmark items, both with their letters folded to bases. A query goes on with parts of
+the document of its id: one as it is, one reversed, one behind a deletion and one once more, so that a pair has many matches on
+both strands. CIGARs come from the lines of an order: each line is an operation, its quantity the length.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import cigar, scoring, sequence
-from strandline.operators import chain, intervals, seeds, select
+from strandline.operators import chain, copies, intervals, orientation, seeds, select
 from strandline.plans import align as plan
+from strandline.sinks import formats
 from strandline.sources import fasta, index
 
 K = 20
@@ -29,8 +31,39 @@ def references(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("seq_id"), sequence.folded(F.col("text")).alias("bases"))
 
 
+#: (begin from 1, length, reversed) of the parts of a document behind a query's own bases; None is a stretch that matches nothing.
+PARTS = ((1, 120, False), None, (121, 60, False), (61, 140, True), (184, 100, False), None, (61, 60, False))
+#: Such a stretch: the query's first bases in reverse.
+SPACER = 40
+
+
 def query_sequences(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "benchmark").where("text is not null").select(F.col("item_id").alias("seq_id"), sequence.folded(F.col("text")).alias("bases"))
+    own = _table(spark, d, "benchmark").where("text is not null").select(F.col("item_id").alias("seq_id"), sequence.folded(F.col("text")).alias("own"))
+    part = lambda b, n, turned: F.reverse(F.translate(F.substring("doc", b, n), "ACGT", "TGCA")) if turned else F.substring("doc", b, n)
+    parts = [F.reverse(F.substring("own", 1, SPACER)) if p is None else part(*p) for p in PARTS]
+    both = own.join(references(spark, d).withColumnRenamed("bases", "doc"), "seq_id", "left")
+    return both.select("seq_id", F.concat("own", F.coalesce(F.concat(*parts), F.lit(""))).alias("bases"))
+
+
+def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and queries of equal id, (pair_id, bases)."""
+    queries = query_sequences(spark, d).withColumnRenamed("seq_id", "pair_id")
+    return references(spark, d).withColumnRenamed("seq_id", "pair_id").join(queries.select("pair_id"), "pair_id", "left_semi"), queries
+
+
+def _pair_extents(spark: SparkSession, d: str) -> DataFrame:
+    refs, queries = _pairs(spark, d)
+    n = F.length("bases").cast("long")
+    return refs.select("pair_id", n.alias("reference_length")).join(queries.select("pair_id", n.alias("query_length")), "pair_id")
+
+
+def _pair_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """The matches of a pair that are unique on both sides, numbered along the reference."""
+    refs, queries = _pairs(spark, d)
+    named = lambda df: df.withColumnRenamed("pair_id", "seq_id")
+    found = seeds.mems(named(refs), named(queries), K).where("ref_id = query_id")
+    unique = seeds.mums(found).select(F.col("ref_id").alias("pair_id"), "rb", "qb", F.col("len").cast("long").alias("len"), "strand").distinct()
+    return unique.withColumn("anchor_id", F.row_number().over(Window.partitionBy("pair_id").orderBy("rb", "qb", "strand", "len")).cast("long"))
 
 
 def _mems(spark: SparkSession, d: str, strands: str = "+-") -> DataFrame:
@@ -114,7 +147,8 @@ def window_votes(spark: SparkSession, d: str) -> DataFrame:
     joined = intervals.binned_join(windows, found, ["query_id"], F.lit(True), ("w_begin", "w_end"), ("m_begin", "m_end"), 256)
     side = lambda s, v: F.sum(F.when(F.col("strand") == s, v).otherwise(F.lit(0)))
     counted = joined.groupBy("query_id", "w_begin", "w_end").agg(side("+", F.lit(1)).alias("forward"), side("-", F.lit(1)).alias("reverse"), side("+", F.col("len")).alias("forward_length"), side("-", F.col("len")).alias("reverse_length"))
-    return counted.withColumn("label", intervals.label(*[F.col(c) for c in ("forward", "reverse", "forward_length", "reverse_length")]))
+    # A label with fewer members than three, so that all of them occur.
+    return counted.withColumn("label", intervals.label(*[F.col(c) for c in ("forward", "reverse", "forward_length", "reverse_length")], least=2))
 
 
 def event_sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -145,10 +179,11 @@ def component_split(spark: SparkSession, d: str) -> DataFrame:
 
 def adjacency_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours along the query on one pair and strand, with the gaps between them and what they would cost."""
-    merged = seeds.merge_diagonals(_seeds("maxmatch")(spark, d)).where("strand = '+'")
+    merged = seeds.merge_diagonals(_seeds("maxmatch")(spark, d))
     order = Window.partitionBy(*seeds.KEY).orderBy("qb", "rb", "len")
-    pairs = merged.withColumn("next_qb", F.lead("qb").over(order)).withColumn("next_rb", F.lead("rb").over(order)).where("next_qb is not null")
-    gaps = pairs.withColumn("qn", F.col("next_qb") - F.col("qb") - F.col("len")).withColumn("rn", F.col("next_rb") - F.col("rb") - F.col("len"))
+    pairs = merged.withColumn("next_qb", F.lead("qb").over(order)).withColumn("next_rb", F.lead("rb").over(order)).withColumn("next_len", F.lead("len").over(order)).where("next_qb is not null")
+    along = F.when(F.col("strand") == "+", F.col("next_rb") - F.col("rb") - F.col("len")).otherwise(F.col("rb") - F.col("next_rb") - F.col("next_len"))
+    gaps = pairs.withColumn("qn", F.col("next_qb") - F.col("qb") - F.col("len")).withColumn("rn", along)
     return gaps.withColumn("discordance", scoring.discordance(F.col("rn"), F.col("qn"))).withColumn("cost", scoring.three_piece_gap(F.abs(F.col("rn") - F.col("qn"))))
 
 
@@ -186,38 +221,120 @@ def sam_clips(spark: SparkSession, d: str) -> DataFrame:
     return _cigars(spark, d).select("l_orderkey", cigar.sam_cigar(F.col("cigar"), F.lit(2), F.lit(2) + n, n + 5, strand).alias("cigar"))
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    best = Window.partitionBy("query_id").orderBy(F.desc("len"), "ref_id", "rb", "qb", "strand")
-    return _seeds("maxmatch")(spark, d).withColumn("rank", F.row_number().over(best))
+def _matched(spark: SparkSession, d: str) -> DataFrame:
+    """All matches as alignments, the first of each query in the final order being primary."""
+    n = F.col("len").cast("long")
+    path = F.array(F.struct(F.lit("=").alias("op"), n.alias("len")))
+    rows = _seeds("maxmatch")(spark, d).select(
+        "ref_id", "query_id", "strand", "rb", (F.col("rb") + n).alias("re"), "qb", (F.col("qb") + n).alias("qe"), path.alias("cigar"), (9 * n).alias("score"), n.alias("matches"), n.alias("columns"), F.lit(0).cast("long").alias("edits")
+    )
+    return select.with_primary(rows)
+
+
+def _named(rows: DataFrame, prefix: str) -> DataFrame:
+    return rows.select("seq_id", F.concat(F.lit(prefix), "seq_id").alias("name"), "bases")
 
 
 def sam_flags_primary(spark: SparkSession, d: str) -> DataFrame:
-    flag = F.when(F.col("strand") == "-", 16).otherwise(0) + F.when(F.col("rank") > 1, 2048).otherwise(0)
-    return _ranked(spark, d).select("query_id", "ref_id", (F.col("rb") + 1).alias("pos"), "qb", flag.alias("flag"))
+    lines = formats.sam(_matched(spark, d), _named(references(spark, d), "r"), _named(query_sequences(spark, d), "q")).where("part = 1")
+    f = F.split("line", "\t")
+    return lines.select(f[0].alias("query"), f[1].cast("int").alias("flag"), f[2].alias("ref"), f[3].cast("long").alias("pos"), f[5].alias("cigar"), f[12].alias("md"))
 
 
 def paf_rows(spark: SparkSession, d: str) -> DataFrame:
-    sizes = lambda df, name: df.select(F.col("seq_id").alias(f"{name}_id"), F.length("bases").alias(f"{name}_n"))
-    rows = _ranked(spark, d).join(sizes(references(spark, d), "ref"), "ref_id").join(sizes(query_sequences(spark, d), "query"), "query_id")
-    n = F.col("len")
-    tags = [F.lit("255"), F.concat(F.lit("cg:Z:"), n, F.lit("=")), F.lit("NM:i:0"), F.concat(F.lit("tp:A:"), F.when(F.col("rank") == 1, "P").otherwise("S"))]
-    columns = [F.concat(F.lit("q"), "query_id"), "query_n", "qb", F.col("qb") + n, "strand", F.concat(F.lit("r"), "ref_id"), "ref_n", "rb", F.col("rb") + n, n, n, *tags]
-    return rows.select(F.concat_ws("\t", *[F.col(c) if isinstance(c, str) else c for c in columns]).alias("line"))
+    return formats.paf(_matched(spark, d), _named(references(spark, d), "r"), _named(query_sequences(spark, d), "q")).select("line")
 
 
 def copy_jobs(spark: SparkSession, d: str) -> DataFrame:
-    """What no unique match covers on each query, largest first, with the matches on both sides of it."""
-    found = seeds.mams(_mems(spark, d))
-    spans = found.select("query_id", F.col("qb").alias("begin"), (F.col("qb") + F.col("len")).alias("end"))
-    gaps = intervals.complement(spans, _extents(spark, d), ["query_id"])
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.col("end") - F.col("begin")), "begin")
-    return gaps.withColumn("job", F.row_number().over(order))
+    """The open stretches of each pair and its scouts, with the anchors beside them."""
+    return copies.jobs(_pair_anchors(spark, d), _pair_extents(spark, d))
+
+
+def _self_found(spark: SparkSession, d: str) -> DataFrame:
+    refs, queries = _pairs(spark, d)
+    return copies.self_matches(refs, K).withColumn("axis", F.lit("reference")).unionByName(copies.self_matches(queries, K).withColumn("axis", F.lit("query")))
+
+
+def self_repeats(spark: SparkSession, d: str) -> DataFrame:
+    anchors = _pair_anchors(spark, d)
+    return copies.self_repeats(_self_found(spark, d), copies.jobs(anchors, _pair_extents(spark, d)), anchors).drop("s", "d")
+
+
+def copy_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The images of the repeats of each job through its anchors."""
+    anchors, extents = _pair_anchors(spark, d).persist(), _pair_extents(spark, d)
+    repeats = copies.self_repeats(_self_found(spark, d), copies.jobs(anchors, extents), anchors)
+    return copies.merged(copies.projected(repeats, anchors, extents), extents).select("pair_id", "job", "axis", "rb", "qb", "len", "strand").distinct()
+
+
+def unique_flanks(spark: SparkSession, d: str) -> DataFrame:
+    refs, queries = _pairs(spark, d)
+    anchors = _pair_anchors(spark, d)
+    return copies.unique_flanks(copies.jobs(anchors, _pair_extents(spark, d)), anchors, refs, queries)
+
+
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
+    spans = _spans(spark, d).select(F.col("query_id").alias("pair_id"), "strand", "begin", "end")
+    return intervals.union(spans, ["pair_id", "strand"])
+
+
+def _label_cells(spark: SparkSession, d: str) -> DataFrame:
+    bit = F.when(F.col("label") == "+", 0).when(F.col("label") == "-", 1).otherwise(2)
+    labels = window_votes(spark, d).where("label <> '.'").select(F.col("query_id").alias("pair_id"), F.col("w_begin").alias("begin"), F.col("w_end").alias("end"), bit.alias("bit"))
+    return intervals.sweep(labels, ["pair_id"])
+
+
+def _one_sided(spark: SparkSession, d: str) -> DataFrame:
+    """The stretches of a query where the matches are of one strand only."""
+    cells = intervals.sweep(_evidence(spark, d).withColumn("bit", F.when(F.col("strand") == "+", 0).otherwise(1)), ["pair_id"])
+    return cells.where("mask in (1, 2)").select("pair_id", "begin", "end", F.when(F.col("mask") == 1, "+").otherwise("-").alias("strand"))
+
+
+def connected_gaps(spark: SparkSession, d: str) -> DataFrame:
+    unknown = _table(spark, d, "benchmark").select(F.col("item_id").alias("pair_id"), F.lit(0).cast("long").alias("begin"), F.lit(2).cast("long").alias("end"))
+    return orientation.connected_gaps(_one_sided(spark, d), _label_cells(spark, d), _evidence(spark, d), unknown, 120, True)
+
+
+def block_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of each query as one forward block, with its forward matches as anchors, once reverse windows are cut out."""
+    blocks = _extents(spark, d).select(F.col("query_id").alias("pair_id"), F.lit(1).cast("long").alias("block_id"), F.lit("+").alias("strand"), F.lit(0).cast("long").alias("begin"), F.col("length").alias("end"))
+    anchors = _evidence(spark, d).where("strand = '+'").select("pair_id", F.lit(1).cast("long").alias("block_id"), "begin", "end")
+    return orientation.block_audit(blocks, anchors, _label_cells(spark, d), 30)[1]
+
+
+def end_clips(spark: SparkSession, d: str) -> DataFrame:
+    """Clips of the matches of a pair, by their length as weight."""
+    n = _extents(spark, d)
+    found = _seeds("maxmatch")(spark, d).join(n, "query_id")
+    ub = F.when(F.col("strand") == "+", F.col("qb")).otherwise(F.col("length") - F.col("qb") - F.col("len"))
+    rows = found.select(F.struct("ref_id", "query_id").alias("pair_id"), "strand", F.struct("rb", "qb", "len").alias("anchor_id"), "rb", ub.alias("ub"), "len", F.col("len").cast("double").alias("weight"))
+    flat = lambda c: [F.col(f"{c}.{x}").alias(f"{c}_{x}" if c == "witness" else x) for x in ("rb", "qb", "len")]
+    return orientation.end_clips(rows).select("pair_id.*", "strand", "end", "trim", *flat("anchor_id"), *flat("witness"))
+
+
+def _order_chains(spark: SparkSession, d: str) -> DataFrame:
+    """A chain of each strand for an order: its lines one after the other, those of odd number forward."""
+    line = Window.partitionBy("l_orderkey", "strand").orderBy("l_linenumber", "len", "gap_r", "gap_q")
+    rows = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 2 == 1, "+").otherwise("-").alias("strand"), F.col("l_quantity").cast("long").alias("len"), (F.col("l_partkey") % 40).alias("gap_r"), (F.col("l_suppkey") % 30).alias("gap_q"))
+    up = line.rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(F.col("l_orderkey").alias("pair_id"), "strand", (F.sum(F.col("len") + F.col("gap_r")).over(up) - F.col("len")).alias("rb"), (F.sum(F.col("len") + F.col("gap_q")).over(up) - F.col("len")).alias("u"), "len")
+
+
+def initial_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of the orders, whose lines make a chain of each strand."""
+    found = _order_chains(spark, d)
+    extents = found.groupBy("pair_id").agg((F.max(F.col("rb") + F.col("len")) + 10).alias("reference_length"), (F.max(F.col("u") + F.col("len")) + 5).alias("query_length"))
+    qb = F.when(F.col("strand") == "+", F.col("u")).otherwise(F.col("query_length") - F.col("u") - F.col("len"))
+    return orientation.initial_blocks(found.join(extents, "pair_id").select("pair_id", "strand", "rb", qb.alias("qb"), "len"), extents)
 
 
 def overlap_violations(spark: SparkSession, d: str) -> DataFrame:
-    merged = intervals.union(_spans(spark, d), ["query_id", "strand"])
-    bad = intervals.overlap_violations(merged, ["query_id", "strand"])
-    return merged.agg(F.count("*").alias("islands")).crossJoin(bad.agg(F.count("*").alias("violations")))
+    """The matches that begin before an earlier one of their query and strand has ended; of their islands, none does."""
+    spans = _spans(spark, d).select("query_id", "strand", "begin", "end").distinct()
+    bad = intervals.overlap_violations(spans, ["query_id", "strand"])
+    merged = intervals.union(spans, ["query_id", "strand"])
+    still = intervals.overlap_violations(merged, ["query_id", "strand"])
+    return bad.withColumn("merged", F.lit(False)).unionByName(still.withColumn("merged", F.lit(True)))
 
 
 def fasta_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -297,6 +414,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sam_flags_primary": sam_flags_primary,
     "paf_rows": paf_rows,
     "copy_jobs": copy_jobs,
+    "self_repeats": self_repeats,
+    "copy_candidates": copy_candidates,
+    "unique_flanks": unique_flanks,
+    "connected_gaps": connected_gaps,
+    "block_audit": block_audit,
+    "end_clips": end_clips,
+    "initial_blocks": initial_blocks,
     "overlap_violations": overlap_violations,
     "fasta_roundtrip": fasta_roundtrip,
     "index_roundtrip": index_roundtrip,
@@ -309,7 +433,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _FOLD = "translate(regexp_replace({0}, '[^A-Za-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', '" + ("ACGT" * 7)[:26] * 2 + "')"
 _NORMAL = "regexp_replace(translate({0}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^ACGT]', 'N', 'g')"
 _REFS = f"refs AS (SELECT doc_id AS seq_id, {_FOLD.format('text')} AS bases FROM documents WHERE text IS NOT NULL)"
-_QS = f"qs AS (SELECT item_id AS seq_id, {_FOLD.format('text')} AS bases FROM benchmark WHERE text IS NOT NULL)"
+_PLANTED = " || ".join(f"reverse(substr(own, 1, {SPACER}))" if p is None else f"reverse(translate(substr(refs.bases, {p[0]}, {p[1]}), 'ACGT', 'TGCA'))" if p[2] else f"substr(refs.bases, {p[0]}, {p[1]})" for p in PARTS)
+_QS = f"qs AS (SELECT item_id AS seq_id, own || coalesce({_PLANTED}, '') AS bases FROM (SELECT item_id, {_FOLD.format('text')} AS own FROM benchmark WHERE text IS NOT NULL) LEFT JOIN refs ON refs.seq_id = item_id)"
 _MEM = f"""{_REFS}, {_QS},
 ori AS (SELECT seq_id AS query_id, '+' AS strand, length(bases) AS n, bases FROM qs UNION ALL SELECT seq_id, '-', length(bases), reverse(translate(bases, 'ACGT', 'TGCA')) FROM qs),
 qk AS (SELECT query_id, strand, n, j, substr(bases, j + 1, {K}) AS kmer FROM (SELECT *, unnest(range(0, n - {K - 1})) AS j FROM ori)),
@@ -333,6 +458,63 @@ win AS (SELECT query_id, b AS wb, least(b + 100, n) AS we FROM st)"""
 _CIG = """c AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS pos, substr('=XID', CAST(l_linenumber % 4 + 1 AS INTEGER), 1) AS op, CAST(l_quantity AS BIGINT) AS len FROM lineitem)"""
 _THREE = "least({0} * 30 + 60, {0} * 5 + 800, {0} + 2500)"
 
+_ANC = _MEM + """,
+pm AS (SELECT * FROM mem WHERE ref_id = query_id),
+um AS (SELECT DISTINCT query_id AS pair_id, rb, qb, len, strand FROM pm m WHERE NOT EXISTS (SELECT 1 FROM pm o WHERE o.query_id = m.query_id AND o.strand = m.strand AND (o.rb <> m.rb OR o.oqb <> m.oqb OR o.len <> m.len)
+  AND (o.oqb <= m.oqb AND o.oqe >= m.oqe OR o.rb <= m.rb AND o.rb + o.len >= m.rb + m.len))),
+anc AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY rb, qb, strand, len) AS anchor_id FROM um),
+ext AS (SELECT qs.seq_id AS pair_id, length(refs.bases) AS reference_length, length(qs.bases) AS query_length FROM qs JOIN refs USING (seq_id))"""
+_JOBS = _ANC + """,
+sd AS (SELECT pair_id, 'query' AS axis, qb AS b, qb + len AS e, anchor_id FROM anc UNION ALL SELECT pair_id, 'reference', rb, rb + len, anchor_id FROM anc),
+ln AS (SELECT pair_id, 'query' AS axis, query_length AS n FROM ext UNION ALL SELECT pair_id, 'reference', reference_length FROM ext),
+ed AS (SELECT pair_id, axis, b, e FROM sd UNION ALL SELECT pair_id, axis, 0, 0 FROM ln UNION ALL SELECT pair_id, axis, n, n FROM ln),
+rn AS (SELECT *, max(e) OVER (PARTITION BY pair_id, axis ORDER BY b, e) AS r, lead(b) OVER (PARTITION BY pair_id, axis ORDER BY b, e) AS nb FROM ed),
+gp AS (SELECT pair_id, axis, r AS b, nb AS e, n FROM rn JOIN ln USING (pair_id, axis) WHERE nb > r),
+jb AS (SELECT *, (SELECT arg_min(anchor_id, (-s.e, anchor_id)) FROM sd s WHERE s.pair_id = gp.pair_id AND s.axis = gp.axis AND s.e <= gp.b) AS left_id,
+  (SELECT arg_min(anchor_id, (s.b, anchor_id)) FROM sd s WHERE s.pair_id = gp.pair_id AND s.axis = gp.axis AND s.b >= gp.e) AS right_id FROM gp),
+ja AS (SELECT jb.pair_id, jb.axis, false AS scout, jb.b AS target_begin, jb.e AS target_end, least(greatest(jb.b - (jb.e - jb.b), 0), coalesce(l.b, jb.b)) AS source_begin, greatest(least(jb.e + jb.e - jb.b, n), coalesce(h.e, jb.e)) AS source_end, left_id, right_id
+  FROM jb LEFT JOIN sd l ON l.pair_id = jb.pair_id AND l.axis = jb.axis AND l.anchor_id = left_id LEFT JOIN sd h ON h.pair_id = jb.pair_id AND h.axis = jb.axis AND h.anchor_id = right_id
+  UNION ALL SELECT pair_id, axis, true, 0, n, 0, n, NULL, NULL FROM ln),
+jobs AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY scout, CASE WHEN scout THEN 0 ELSE target_begin - target_end END, CASE WHEN scout = (axis = 'query') THEN 0 ELSE 1 END, target_begin) AS job FROM ja)"""
+_REPEATS = _JOBS + f""",
+sq AS (SELECT seq_id AS pair_id, 'query' AS axis, bases FROM qs WHERE seq_id IN (SELECT seq_id FROM refs) UNION ALL SELECT seq_id, 'reference', bases FROM refs WHERE seq_id IN (SELECT seq_id FROM qs)),
+so AS (SELECT pair_id, axis, '+' AS strand, length(bases) AS n, bases FROM sq UNION ALL SELECT pair_id, axis, '-', length(bases), reverse(translate(bases, 'ACGT', 'TGCA')) FROM sq),
+sa AS (SELECT pair_id, axis, i, substr(bases, i + 1, {K}) AS kmer FROM (SELECT *, unnest(range(0, length(bases) - {K - 1})) AS i FROM sq)),
+sb AS (SELECT pair_id, axis, strand, n, j, substr(bases, j + 1, {K}) AS kmer FROM (SELECT *, unnest(range(0, n - {K - 1})) AS j FROM so)),
+sh AS (SELECT pair_id, axis, strand, n, i, j FROM sa JOIN sb USING (pair_id, axis, kmer)),
+si AS (SELECT *, i - row_number() OVER (PARTITION BY pair_id, axis, strand, i - j ORDER BY i) AS g FROM sh),
+sm AS (SELECT pair_id, axis, strand, min(i) AS s, count(*) + {K - 1} AS n, CASE WHEN strand = '+' THEN min(j) ELSE any_value(n) - min(j) - count(*) - {K - 1} END AS d FROM si GROUP BY pair_id, axis, strand, i - j, g),
+mt AS (SELECT j.pair_id, j.job, j.axis, j.scout, j.target_begin AS tb, j.target_end AS te, m.strand, m.s, m.d, m.n,
+  greatest(tb - d, CASE WHEN strand = '+' THEN source_begin - s ELSE s + n - source_end END, 0) AS front, greatest(d + n - te, CASE WHEN strand = '+' THEN s + n - source_end ELSE source_begin - s END, 0) AS back
+  FROM jobs j JOIN sm m USING (pair_id, axis) WHERE s <> d AND d < j.target_end AND j.target_begin < d + n),
+ct AS (SELECT pair_id, job, axis, scout, tb, te, strand, d + front AS d, s + CASE WHEN strand = '+' THEN front ELSE back END AS s, n - front - back AS n FROM mt WHERE n > front + back),
+cl AS (SELECT * REPLACE (CASE WHEN scout AND strand = '+' THEN least(n, abs(s - d)) ELSE n END AS n) FROM ct),
+kp AS (SELECT * FROM cl c WHERE (s >= d + n OR d >= s + n) AND CASE WHEN scout THEN s + n = d OR d + n = s ELSE (s >= te OR tb >= s + n) AND
+  (d = tb OR d + n = te OR EXISTS (SELECT 1 FROM sd x WHERE x.pair_id = c.pair_id AND x.axis = c.axis AND (x.b = c.s OR x.e = c.s + c.n))) END),
+repeats AS (SELECT pair_id, job, axis, strand, s, d, n AS len FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, job, least(s, d), greatest(s, d), n, strand ORDER BY s, d) AS k FROM kp) WHERE k = 1)"""
+_VOTES = _MEM + _WIN.replace("\next AS (", "\nwext AS (").replace("FROM ext", "FROM wext") + """,
+vx AS (SELECT win.query_id, wb, we, sum(CASE WHEN strand = '+' THEN 1 ELSE 0 END) AS f, sum(CASE WHEN strand = '-' THEN 1 ELSE 0 END) AS r, sum(CASE WHEN strand = '+' THEN len ELSE 0 END) AS fl, sum(CASE WHEN strand = '-' THEN len ELSE 0 END) AS rl
+ FROM win JOIN mem ON mem.query_id = win.query_id AND qb + len // 2 >= wb AND qb + len // 2 < we GROUP BY ALL),
+vl AS (SELECT query_id AS pair_id, wb, we, CASE WHEN f >= 2 AND r <= f // 2 AND rl <= fl // 2 THEN 1 WHEN r >= 2 AND f <= r // 2 AND fl <= rl // 2 THEN 2 WHEN f >= 2 OR r >= 2 THEN 4 ELSE 0 END AS m FROM vx)"""
+
+
+def _swept(source: str, name: str) -> str:
+    """Cells (pair_id, b, e, m) of intervals (pair_id, b, e, m) that carry one bit each."""
+    steps = lambda sign: ", ".join(f"CASE WHEN m = {1 << k} THEN {sign}1 ELSE 0 END AS s{k}" for k in range(3))
+    mask = " + ".join(f"CASE WHEN sum(s{k}) OVER o > 0 THEN {1 << k} ELSE 0 END" for k in range(3))
+    return f"""
+{name}_e AS (SELECT pair_id, b AS p, {steps('')} FROM {source} UNION ALL SELECT pair_id, e, {steps('-')} FROM {source}),
+{name}_a AS (SELECT pair_id, p, sum(s0) AS s0, sum(s1) AS s1, sum(s2) AS s2 FROM {name}_e GROUP BY ALL),
+{name}_c AS (SELECT pair_id, p, lead(p) OVER o AS q, {mask} AS m FROM {name}_a WINDOW o AS (PARTITION BY pair_id ORDER BY p)),
+{name}_f AS (SELECT *, CASE WHEN lag(m) OVER (PARTITION BY pair_id ORDER BY p) = m THEN 0 ELSE 1 END AS f FROM {name}_c WHERE q IS NOT NULL),
+{name}_g AS (SELECT *, sum(f) OVER (PARTITION BY pair_id ORDER BY p) AS g FROM {name}_f),
+{name} AS (SELECT pair_id, min(p) AS b, max(q) AS e, any_value(m) AS m FROM {name}_g WHERE m > 0 GROUP BY pair_id, g)"""
+
+
+_CELLS = _VOTES + f""",
+span AS (SELECT query_id, strand, qb AS b, qb + len AS e FROM mem), {_ISLAND.format('query_id, strand', 'span')},
+ev AS (SELECT query_id AS pair_id, strand, b, e FROM u), evm AS (SELECT pair_id, b, e, CASE WHEN strand = '+' THEN 1 ELSE 2 END AS m FROM ev), vlm AS (SELECT pair_id, wb AS b, we AS e, m FROM vl WHERE m > 0),""" + _swept("evm", "ev_cell") + "," + _swept("vlm", "cell")
+
 ORACLE_SQL: dict[str, str] = {
     "seq_normalize": f"SELECT doc_id, {_NORMAL.format('text')} AS bases FROM documents",
     "seq_stats": f"WITH b AS (SELECT source, {_NORMAL.format('text')} AS s FROM documents) SELECT source, count(*) AS records, CAST(sum(length(s)) AS BIGINT) AS total_bases, CAST(sum(length(regexp_replace(s, '[^N]', '', 'g'))) AS BIGINT) AS ambiguous_bases FROM b GROUP BY source",
@@ -374,15 +556,15 @@ x AS (SELECT *, lead(b) OVER (PARTITION BY query_id ORDER BY b, e) AS nb FROM t)
     "covered_matches": f"""WITH {_MAM}, span AS (SELECT query_id, strand, qb AS b, qb + len AS e FROM mam), {_ISLAND.format('query_id, strand', 'span')},
 x AS (SELECT *, EXISTS (SELECT 1 FROM u WHERE u.query_id = m.query_id AND u.strand = m.strand AND u.b <= m.qb AND u.e >= m.qb + m.len) AS covered FROM mem m)
 SELECT query_id, strand, covered, count(*) AS n, CAST(sum(len) AS BIGINT) AS bases FROM x GROUP BY ALL""",
-    "window_starts": f"WITH {_QS}{_WIN} SELECT query_id, wb AS \"begin\", we AS \"end\" FROM win",
+    "window_starts": f"WITH {_REFS}, {_QS}{_WIN} SELECT query_id, wb AS \"begin\", we AS \"end\" FROM win",
     "interval_intersections": f"""WITH {_SPAN}, {_ISLAND.format('query_id', 'span')}{_WIN}
 SELECT win.query_id, wb AS left_id, u.b AS right_id, greatest(wb, u.b) AS "begin", least(we, u.e) AS "end" FROM win JOIN u ON win.query_id = u.query_id AND wb < u.e AND u.b < we""",
     "window_votes": f"""WITH {_MEM}{_WIN}, x AS (SELECT win.query_id, wb AS w_begin, we AS w_end,
  CAST(sum(CASE WHEN strand = '+' THEN 1 ELSE 0 END) AS BIGINT) AS forward, CAST(sum(CASE WHEN strand = '-' THEN 1 ELSE 0 END) AS BIGINT) AS reverse,
  CAST(sum(CASE WHEN strand = '+' THEN len ELSE 0 END) AS BIGINT) AS forward_length, CAST(sum(CASE WHEN strand = '-' THEN len ELSE 0 END) AS BIGINT) AS reverse_length
  FROM win JOIN mem ON mem.query_id = win.query_id AND qb + len // 2 >= wb AND qb + len // 2 < we GROUP BY ALL)
-SELECT *, CASE WHEN forward >= 3 AND reverse <= forward // 2 AND reverse_length <= forward_length // 2 THEN '+'
- WHEN reverse >= 3 AND forward <= reverse // 2 AND forward_length <= reverse_length // 2 THEN '-' WHEN forward >= 3 OR reverse >= 3 THEN '?' ELSE '.' END AS label FROM x""",
+SELECT *, CASE WHEN forward >= 2 AND reverse <= forward // 2 AND reverse_length <= forward_length // 2 THEN '+'
+ WHEN reverse >= 2 AND forward <= reverse // 2 AND forward_length <= reverse_length // 2 THEN '-' WHEN forward >= 2 OR reverse >= 2 THEN '?' ELSE '.' END AS label FROM x""",
     "event_sweep": f"""WITH {_SPAN}, ev AS (SELECT query_id, b AS p, CASE WHEN ref_id % 3 = 0 THEN 1 ELSE 0 END AS s0, CASE WHEN ref_id % 3 = 1 THEN 1 ELSE 0 END AS s1, CASE WHEN ref_id % 3 = 2 THEN 1 ELSE 0 END AS s2 FROM span
  UNION ALL SELECT query_id, e, CASE WHEN ref_id % 3 = 0 THEN -1 ELSE 0 END, CASE WHEN ref_id % 3 = 1 THEN -1 ELSE 0 END, CASE WHEN ref_id % 3 = 2 THEN -1 ELSE 0 END FROM span),
 al AS (SELECT query_id, p, sum(s0) AS s0, sum(s1) AS s1, sum(s2) AS s2 FROM ev GROUP BY ALL),
@@ -396,10 +578,10 @@ SELECT {_COLS}, reference_count, query_count, len / sqrt(CAST(reference_count *
 a AS (SELECT *, max(re) OVER (PARTITION BY ref_id, query_id, strand ORDER BY rb, re ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM s),
 b AS (SELECT *, sum(CASE WHEN r IS NULL OR rb > r + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY ref_id, query_id, strand ORDER BY rb, re ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM a)
 SELECT ref_id, query_id, strand, CAST(c AS BIGINT) AS component, count(*) AS n, min(rb) AS rb, max(re) AS re FROM b GROUP BY ref_id, query_id, strand, c""",
-    "adjacency_gaps": f"""WITH {_MEM}, span AS (SELECT ref_id, query_id, strand, qb - rb AS dg, rb AS b, rb + len AS e FROM mem WHERE strand = '+'), {_ISLAND.format('ref_id, query_id, strand, dg', 'span')},
-m AS (SELECT ref_id, b AS rb, query_id, dg + b AS qb, e - b AS len, strand FROM u),
-x AS (SELECT *, lead(qb) OVER o AS next_qb, lead(rb) OVER o AS next_rb FROM m WINDOW o AS (PARTITION BY ref_id, query_id, strand ORDER BY qb, rb, len)),
-y AS (SELECT *, next_qb - qb - len AS qn, next_rb - rb - len AS rn FROM x WHERE next_qb IS NOT NULL)
+    "adjacency_gaps": f"""WITH {_MEM}, span AS (SELECT ref_id, query_id, strand, CASE WHEN strand = '+' THEN qb - rb ELSE qb + len + rb END AS dg, rb AS b, rb + len AS e FROM mem), {_ISLAND.format('ref_id, query_id, strand, dg', 'span')},
+m AS (SELECT ref_id, b AS rb, query_id, CASE WHEN strand = '+' THEN dg + b ELSE dg - e END AS qb, e - b AS len, strand FROM u),
+x AS (SELECT *, lead(qb) OVER o AS next_qb, lead(rb) OVER o AS next_rb, lead(len) OVER o AS next_len FROM m WINDOW o AS (PARTITION BY ref_id, query_id, strand ORDER BY qb, rb, len)),
+y AS (SELECT *, next_qb - qb - len AS qn, CASE WHEN strand = '+' THEN next_rb - rb - len ELSE rb - next_rb - next_len END AS rn FROM x WHERE next_qb IS NOT NULL)
 SELECT *, 2 * log2(CAST(abs(rn - qn) + 1 AS DOUBLE)) AS discordance, CASE WHEN abs(rn - qn) > 0 THEN {_THREE.format('abs(rn - qn)')} ELSE 0 END AS cost FROM y""",
     "gap_costs": f"""WITH x AS (SELECT p_partkey, CAST(p_size AS BIGINT) * 25 AS n FROM part) SELECT p_partkey, n, n * 3 + 40 AS affine, least(n * 2 + 4, n + 12) AS two, {_THREE.format('n')} AS three, 200 + CAST(floor((n + n) * 0.1::DOUBLE) AS BIGINT) AS band FROM x""",
     "cigar_lengths": f"""WITH {_CIG}, s AS (SELECT l_orderkey, string_agg(CAST(len AS VARCHAR) || op, '' ORDER BY pos) AS cigar,
@@ -424,16 +606,70 @@ b AS (SELECT l_orderkey, block, sum(CASE WHEN pair THEN len ELSE 0 END) AS size,
 l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY block DESC) = 1 AS last FROM b),
 j AS (SELECT l_orderkey, string_agg(CAST(CAST(size AS BIGINT) AS VARCHAR) || CASE WHEN last THEN ' 0 0' ELSE ' ' || CAST(CAST(dt AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(dq AS BIGINT) AS VARCHAR) END, ',' ORDER BY block) AS blocks FROM l GROUP BY l_orderkey)
 SELECT o.l_orderkey, coalesce(j.blocks, '') AS blocks FROM (SELECT DISTINCT l_orderkey FROM c) o LEFT JOIN j USING (l_orderkey)""",
-    "sam_flags_primary": f"""WITH {_MEM}, s AS (SELECT DISTINCT {_COLS} FROM mem), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY len DESC, ref_id, rb, qb, strand) AS k FROM s)
-SELECT query_id, ref_id, rb + 1 AS pos, qb, CASE WHEN strand = '-' THEN 16 ELSE 0 END + CASE WHEN k > 1 THEN 2048 ELSE 0 END AS flag FROM r""",
-    "paf_rows": f"""WITH {_MEM}, s AS (SELECT DISTINCT {_COLS} FROM mem), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY len DESC, ref_id, rb, qb, strand) AS k FROM s)
-SELECT concat_ws(chr(9), 'q' || r.query_id, length(qs.bases), qb, qb + len, strand, 'r' || r.ref_id, length(refs.bases), rb, rb + len, len, len, '255', 'cg:Z:' || len || '=', 'NM:i:0', 'tp:A:' || CASE WHEN k = 1 THEN 'P' ELSE 'S' END) AS line
+    "sam_flags_primary": f"""WITH {_MEM}, s AS (SELECT DISTINCT {_COLS} FROM mem), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY qb, ref_id, rb, strand, len) AS k FROM s)
+SELECT 'q' || query_id AS query, CASE WHEN strand = '-' THEN 16 ELSE 0 END + CASE WHEN k > 1 THEN 2048 ELSE 0 END AS flag, 'r' || ref_id AS ref, rb + 1 AS pos,
+ CASE WHEN strand = '+' THEN a ELSE z END || len || '=' || CASE WHEN strand = '+' THEN z ELSE a END AS cigar, 'MD:Z:' || len AS md
+FROM (SELECT r.*, CASE WHEN qb > 0 THEN qb || 'H' ELSE '' END AS a, CASE WHEN length(qs.bases) > qb + len THEN (length(qs.bases) - qb - len) || 'H' ELSE '' END AS z FROM r JOIN qs ON qs.seq_id = r.query_id)""",
+    "paf_rows": f"""WITH {_MEM}, s AS (SELECT DISTINCT {_COLS} FROM mem), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY qb, ref_id, rb, strand, len) AS k FROM s)
+SELECT concat_ws(chr(9), 'q' || r.query_id, length(qs.bases), qb, qb + len, strand, 'r' || r.ref_id, length(refs.bases), rb, rb + len, len, len, '255', 'cg:Z:' || len || '=', 'NM:i:0', 'AS:i:' || 9 * len, 'tp:A:' || CASE WHEN k = 1 THEN 'P' ELSE 'S' END) AS line
 FROM r JOIN refs ON refs.seq_id = r.ref_id JOIN qs ON qs.seq_id = r.query_id""",
-    "copy_jobs": f"""WITH {_MAM}, span AS (SELECT query_id, qb AS b, qb + len AS e FROM mam), {_ISLAND.format('query_id', 'span')},
-t AS (SELECT query_id, b, e FROM u UNION ALL SELECT seq_id, 0, 0 FROM qs UNION ALL SELECT seq_id, length(bases), length(bases) FROM qs),
-x AS (SELECT *, lead(b) OVER (PARTITION BY query_id ORDER BY b, e) AS nb FROM t)
-SELECT query_id, e AS "begin", nb AS "end", row_number() OVER (PARTITION BY query_id ORDER BY nb - e DESC, e) AS job FROM x WHERE nb > e""",
-    "overlap_violations": f"WITH {_SPAN}, {_ISLAND.format('query_id, strand', 'span')} SELECT count(*) AS islands, CAST(0 AS BIGINT) AS violations FROM u",
+    "copy_jobs": f"""WITH {_JOBS} SELECT * FROM jobs""",
+    "self_repeats": f"""WITH {_REPEATS} SELECT pair_id, job, axis, least(s, d) AS first_begin, greatest(s, d) AS second_begin, len, strand FROM repeats""",
+    "copy_candidates": f"""WITH {_REPEATS},
+own AS (SELECT pair_id, 'query' AS axis, anchor_id, strand AS a_strand, qb AS ab, qb + len AS ae, rb AS ob FROM anc UNION ALL SELECT pair_id, 'reference', anchor_id, strand, rb, rb + len, qb FROM anc),
+met AS (SELECT r.*, o.anchor_id, o.a_strand, o.ab, o.ae, o.ob, greatest(r.s, o.ab) AS b, least(r.s + r.len, o.ae) AS e FROM repeats r JOIN own o USING (pair_id, axis) WHERE r.s < o.ae AND o.ab < r.s + r.len),
+im AS (SELECT *, CASE WHEN strand = '+' THEN d + b - s ELSE d + s + len - e END AS target, ob + CASE WHEN a_strand = '+' THEN b - ab ELSE ae - e END AS there FROM met),
+pr AS (SELECT pair_id, job, axis, anchor_id, CASE WHEN axis = 'query' THEN there ELSE target END AS rb, CASE WHEN axis = 'query' THEN target ELSE there END AS qb, e - b AS n, CASE WHEN a_strand = strand THEN '+' ELSE '-' END AS st,
+ CASE WHEN (CASE WHEN axis = 'query' THEN a_strand ELSE strand END) = '+' THEN b ELSE (CASE WHEN axis = 'query' THEN query_length ELSE reference_length END) - e END AS sb, CASE WHEN axis = 'query' THEN a_strand ELSE strand END AS tr FROM im JOIN ext USING (pair_id)),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, job, rb, qb, n, st ORDER BY anchor_id, sb, tr) AS k FROM pr) WHERE k = 1),
+lined AS (SELECT o.*, rb - CASE WHEN st = '+' THEN qb ELSE query_length - qb - n END AS line FROM once o JOIN ext USING (pair_id))
+SELECT DISTINCT pair_id, job, axis, rb, qb, n AS len, st AS strand FROM lined x WHERE NOT EXISTS (SELECT 1 FROM lined y WHERE y.pair_id = x.pair_id AND y.job = x.job AND y.st = x.st AND y.line = x.line AND y.anchor_id = x.anchor_id AND y.rb <= x.rb AND y.rb + y.n >= x.rb + x.n AND y.n > x.n)""",
+    "unique_flanks": f"""WITH {_JOBS},
+occ AS (SELECT a.pair_id, a.anchor_id, a.strand, a.rb, a.qb, a.len, r.bases AS rs, q.bases AS qq, substr(r.bases, a.rb + 1, a.len) AS p, CASE WHEN a.strand = '+' THEN substr(r.bases, a.rb + 1, a.len) ELSE reverse(translate(substr(r.bases, a.rb + 1, a.len), 'ACGT', 'TGCA')) END AS x FROM anc a JOIN refs r ON r.seq_id = a.pair_id JOIN qs q ON q.seq_id = a.pair_id),
+u AS (SELECT pair_id, anchor_id, strand, rb, qb, len, len(list_filter(range(length(rs) - len + 1), lambda i: substr(rs, i + 1, len) = p)) = 1 AND len(list_filter(range(length(qq) - len + 1), lambda i: substr(qq, i + 1, len) = x)) = 1 AS once FROM occ)
+SELECT j.pair_id, j.job, coalesce(l.strand = h.strand AND l.anchor_id <> h.anchor_id AND l.once AND h.once AND
+ CASE WHEN j.axis = 'query' THEN CASE WHEN l.strand = '+' THEN l.rb + l.len <= h.rb ELSE h.rb + h.len <= l.rb END ELSE CASE WHEN l.strand = '+' THEN l.qb + l.len <= h.qb ELSE h.qb + h.len <= l.qb END END, false) AS "unique"
+FROM jobs j LEFT JOIN u l ON l.pair_id = j.pair_id AND l.anchor_id = j.left_id LEFT JOIN u h ON h.pair_id = j.pair_id AND h.anchor_id = j.right_id WHERE NOT j.scout""",
+    "connected_gaps": f"""WITH {_CELLS},
+one AS (SELECT pair_id, b, e, CASE WHEN m = 1 THEN '+' ELSE '-' END AS strand FROM ev_cell WHERE m IN (1, 2)),
+nx AS (SELECT pair_id, e AS b, lead(b) OVER o AS e, strand, lead(strand) OVER o AS n_strand FROM one WINDOW o AS (PARTITION BY pair_id ORDER BY b)),
+g AS (SELECT pair_id, b, e, strand FROM nx WHERE strand = n_strand AND e > b),
+j AS (SELECT g.*, g.b < 2 AS has_n,
+ (SELECT coalesce(sum(least(c.e, g.e) - greatest(c.b, g.b)), 0) FROM cell c WHERE c.pair_id = g.pair_id AND c.b < g.e AND g.b < c.e AND c.m = CASE WHEN g.strand = '+' THEN 1 ELSE 2 END) AS pure,
+ EXISTS (SELECT 1 FROM cell c WHERE c.pair_id = g.pair_id AND c.b < g.e AND g.b < c.e AND c.m & CASE WHEN g.strand = '+' THEN 6 ELSE 5 END <> 0) AS veto,
+ EXISTS (SELECT 1 FROM ev v WHERE v.pair_id = g.pair_id AND v.b < g.e AND g.b < v.e AND v.strand <> g.strand) AS opp FROM g),
+r AS (SELECT *, CASE WHEN e - b > 120 THEN 'gap_too_long' WHEN has_n THEN 'contains_N' WHEN pure = e - b THEN 'continuous_window_gap' WHEN veto THEN 'conflicting_or_uncovered_window' WHEN opp THEN 'opposite_exact_evidence' ELSE 'same_direction_unknown_gap' END AS reason FROM j)
+SELECT pair_id, b AS "begin", e AS "end", strand, reason IN ('continuous_window_gap', 'same_direction_unknown_gap') AS accepted, reason FROM r""",
+    "block_audit": f"""WITH {_CELLS},
+gp AS (SELECT pair_id, e AS gb, lead(b) OVER (PARTITION BY pair_id ORDER BY b) AS ge FROM ev WHERE strand = '+'),
+pc AS (SELECT gp.pair_id, greatest(gb, c.b) AS b, least(ge, c.e) AS e FROM gp JOIN cell c ON c.pair_id = gp.pair_id AND c.b < ge AND gb < c.e WHERE ge - gb > 30 AND c.m = 2),
+x AS (SELECT pair_id, b, e FROM pc UNION ALL SELECT seq_id, 0, 0 FROM qs UNION ALL SELECT seq_id, length(bases), length(bases) FROM qs),
+y AS (SELECT pair_id, e AS b, lead(b) OVER (PARTITION BY pair_id ORDER BY b, e) AS e FROM x)
+SELECT pair_id, CAST(1 AS BIGINT) AS block_id, '+' AS strand, b AS "begin", e AS "end" FROM y WHERE e > b""",
+    "end_clips": f"""WITH {_MEM}, s AS (SELECT DISTINCT {_COLS}, oqb AS ub FROM mem),
+p AS (SELECT a.ref_id, a.query_id, a.strand, a.rb AS arb, a.qb AS aqb, a.len AS an, b.rb AS brb, b.qb AS bqb, b.len AS bn, a.ub AS aub, b.ub AS bub, greatest(a.rb + a.len - b.rb, a.ub + a.len - b.ub) AS trim
+ FROM s a JOIN s b ON a.ref_id = b.ref_id AND a.query_id = b.query_id AND a.strand = b.strand AND a.rb < b.rb AND a.ub < b.ub AND a.rb + a.len < b.rb + b.len AND a.ub + a.len < b.ub + b.len AND (a.rb + a.len > b.rb OR a.ub + a.len > b.ub)),
+t AS (SELECT *, abs((brb - arb) - (bub - aub)) AS delta, 2 * log2(CAST(abs((brb - arb) - (bub - aub)) + 1 AS DOUBLE)) AS cost, greatest(brb - arb - an, bub - aub - an) + trim AS gap FROM p WHERE 2 * trim < least(an, bn)),
+o AS (SELECT ref_id, query_id, strand, 'back' AS "end", arb AS rb, aqb AS qb, an AS len, trim, delta, cost, gap, least(an - trim, bn) AS least, brb AS wrb, bqb AS wqb, bn AS wn FROM t
+ UNION ALL SELECT ref_id, query_id, strand, 'front', brb, bqb, bn, trim, delta, cost, gap, least(bn - trim, an), arb, aqb, an FROM t),
+k AS (SELECT *, row_number() OVER (PARTITION BY ref_id, query_id, strand, "end", rb, qb, len ORDER BY trim, cost, wrb, wqb, wn) AS k FROM o WHERE (gap = 0 OR gap < least) AND (delta = 0 OR cost < least))
+SELECT ref_id, query_id, strand, "end", trim, rb, qb, len, wrb AS witness_rb, wqb AS witness_qb, wn AS witness_len FROM k WHERE k = 1""",
+    "initial_blocks": """WITH l AS (SELECT l_orderkey AS pair_id, l_linenumber AS k, CASE WHEN l_linenumber % 2 = 1 THEN '+' ELSE '-' END AS strand, CAST(l_quantity AS BIGINT) AS n, l_partkey % 40 AS gr, l_suppkey % 30 AS gq FROM lineitem),
+c AS (SELECT pair_id, strand, n, sum(n + gr) OVER w - n AS rb, sum(n + gq) OVER w - n AS u FROM l WINDOW w AS (PARTITION BY pair_id, strand ORDER BY k, n, gr, gq ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT pair_id, max(rb + n) + 10 AS rn, max(u + n) + 5 AS qn, CASE WHEN coalesce(sum(n) FILTER (WHERE strand = '-'), 0) > coalesce(sum(n) FILTER (WHERE strand = '+'), 0) THEN '-' ELSE '+' END AS bg FROM c GROUP BY pair_id),
+a AS (SELECT c.*, x.rn, x.qn, x.bg, CASE WHEN strand = '+' THEN u ELSE qn - u - n END AS qb FROM c JOIN x USING (pair_id)),
+sp AS (SELECT pair_id, rb, rb + n AS re, u, u + n AS ue, 0 AS side FROM a WHERE strand = bg UNION ALL SELECT pair_id, 0, 0, 0, 0, -1 FROM x UNION ALL SELECT pair_id, rn, rn, qn, qn, 1 FROM x),
+gp AS (SELECT pair_id, re AS rb, lead(rb) OVER o AS re, ue AS u, lead(u) OVER o AS ue, side = 0 AND lead(side) OVER o = 0 AS mid FROM sp WINDOW o AS (PARTITION BY pair_id ORDER BY rb, side, re)),
+bl AS (SELECT pair_id, rb, re, u, ue, true AS skeleton, false AS mid FROM sp WHERE side = 0 UNION ALL SELECT pair_id, rb, re, u, ue, false, mid FROM gp WHERE re > rb OR ue > u),
+b AS (SELECT bl.pair_id, bg, skeleton, mid, rb, re, CASE WHEN bg = '-' THEN qn - ue ELSE u END AS qb, CASE WHEN bg = '-' THEN qn - u ELSE ue END AS qe, row_number() OVER (PARTITION BY bl.pair_id ORDER BY rb, re, u) AS block_id FROM bl JOIN x USING (pair_id)),
+i AS (SELECT b.pair_id, b.block_id, a.strand, greatest(0, a.n - greatest(b.rb - a.rb, CASE WHEN a.strand = '+' THEN b.qb - a.qb ELSE a.qb + a.n - b.qe END, 0) - greatest(a.rb + a.n - b.re, CASE WHEN a.strand = '+' THEN a.qb + a.n - b.qe ELSE b.qb - a.qb END, 0)) AS n
+ FROM b JOIN a ON a.pair_id = b.pair_id WHERE NOT skeleton AND a.rb < b.re AND b.rb < a.rb + a.n),
+s AS (SELECT pair_id, block_id, sum(CASE WHEN strand = '+' THEN n ELSE 0 END) AS f, sum(CASE WHEN strand = '-' THEN n ELSE 0 END) AS r FROM i GROUP BY ALL),
+j AS (SELECT b.*, CAST(CASE WHEN skeleton THEN CASE WHEN bg = '+' THEN re - rb ELSE 0 END ELSE coalesce(f, 0) END AS BIGINT) AS forward_support, CAST(CASE WHEN skeleton THEN CASE WHEN bg = '-' THEN re - rb ELSE 0 END ELSE coalesce(r, 0) END AS BIGINT) AS reverse_support FROM b LEFT JOIN s USING (pair_id, block_id)),
+d AS (SELECT *, NOT skeleton AND forward_support = reverse_support AS tentative, CASE WHEN skeleton OR forward_support = reverse_support THEN bg WHEN reverse_support > forward_support THEN '-' ELSE '+' END AS strand FROM j)
+SELECT pair_id, block_id, skeleton, tentative, mid AND strand <> bg AS inversion_candidate, strand, CAST(rb AS BIGINT) AS rb, CAST(re AS BIGINT) AS re, CAST(qb AS BIGINT) AS qb, CAST(qe AS BIGINT) AS qe, forward_support, reverse_support FROM d""",
+    "overlap_violations": f"""WITH {_SPAN}, s AS (SELECT DISTINCT query_id, strand, b, e FROM span)
+SELECT query_id, strand, b AS "begin", e AS "end", false AS merged FROM (SELECT *, max(e) OVER (PARTITION BY query_id, strand ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM s) WHERE r > b""",
     "fasta_roundtrip": f"WITH {_REFS} SELECT 'doc' || seq_id AS name, length(bases) AS length, sha256(bases) AS sha256 FROM refs WHERE bases <> ''",
     "index_roundtrip": f"WITH {_REFS} SELECT 'doc' || seq_id AS name, length(bases) AS length, sha256(bases) AS fingerprint, greatest(length(bases) - {K - 1}, 0) AS kmers FROM refs",
 }

@@ -19,15 +19,34 @@ from strandline.operators.select import ORDER
 FORMATS = ("sam", "paf", "maf", "delta", "chain")
 
 
-def _escaped(c: Column) -> Column:
+def escaped(c: Column) -> Column:
+    """A name without what would break a line or field: tabs and line ends are spaces."""
     return F.regexp_replace(c, "[\t\r\n]", " ")
 
 
+#: Sequences in a group whose sizes are summed up together.
+GROUP = 65_536
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "at") -> DataFrame:
+    """With ``name``, from 1 in this order, whose first column is a sequence's id.
+
+    A row's number is its place among those of its sequence and the rows of all sequences before: sums of sums by groups of sequences, so no task
+    sees more than the rows of one sequence, the sequences of one group, or the groups.
+    """
+    by = order[0]
+    sizes = rows.groupBy(by).agg(F.count("*").alias("_n")).withColumn("_group", F.floor(F.col(by) / GROUP))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sizes.groupBy("_group").agg(F.sum("_n").alias("_n")).select("_group", before(Window.orderBy("_group")).alias("_base"))
+    begins = sizes.withColumn("_inner", before(Window.partitionBy("_group").orderBy(by))).join(groups, "_group").select(by, (F.col("_base") + F.col("_inner")).alias("_before"))
+    own = rows.withColumn("_row", F.row_number().over(Window.partitionBy(by).orderBy(*order[1:])))
+    return own.join(begins, by).withColumn(name, (F.col("_before") + F.col("_row")).cast("long")).drop("_row", "_before")
+
+
 def _placed(rows: DataFrame, reference: DataFrame, queries: DataFrame, order: list[str] | None = None) -> DataFrame:
-    refs = reference.select(F.col("seq_id").alias("ref_id"), F.col("name").alias("ref_name"), F.length("bases").cast("long").alias("ref_n"))
-    qs = queries.select(F.col("seq_id").alias("query_id"), F.col("name").alias("query_name"), F.length("bases").cast("long").alias("query_n"))
-    at = F.row_number().over(Window.orderBy(*(order or ORDER))).cast("long")
-    return rows.withColumn("at", at).join(refs, "ref_id").join(qs, "query_id")
+    refs = reference.select(F.col("seq_id").alias("ref_id"), escaped(F.col("name")).alias("ref_name"), F.length("bases").cast("long").alias("ref_n"))
+    qs = queries.select(F.col("seq_id").alias("query_id"), escaped(F.col("name")).alias("query_name"), F.length("bases").cast("long").alias("query_n"))
+    return numbered(rows, order or ORDER).join(refs, "ref_id").join(qs, "query_id")
 
 
 def _header(spark: SparkSession, lines: list[str]) -> DataFrame:
@@ -70,7 +89,7 @@ def _with_text(rows: DataFrame, reference: DataFrame, queries: DataFrame, what:
 def sam(rows: DataFrame, reference: DataFrame, queries: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     placed = _with_text(_placed(rows, reference, queries), reference, queries, "md")
-    names = reference.select(F.lit(0).alias("part"), (F.col("seq_id") + 1).cast("long").alias("at"), F.concat_ws("\t", F.lit("@SQ"), F.concat(F.lit("SN:"), "name"), F.concat(F.lit("LN:"), F.length("bases"))).alias("line"))
+    names = reference.select(F.lit(0).alias("part"), (F.col("seq_id") + 1).cast("long").alias("at"), F.concat_ws("\t", F.lit("@SQ"), F.concat(F.lit("SN:"), escaped(F.col("name"))), F.concat(F.lit("LN:"), F.length("bases"))).alias("line"))
     program = spark.createDataFrame([(0, 0, "@HD\tVN:1.6\tSO:unknown"), (0, (1 << 62), "@PG\tID:strandline\tPN:strandline")], "part int, at long, line string")
     flag = F.when(F.col("strand") == "-", 16).otherwise(0) + F.when(F.col("primary"), 0).otherwise(2048)
     clips = cigar.sam_cigar(F.col("cigar"), F.col("qb"), F.col("qe"), F.col("query_n"), F.col("strand"))
@@ -89,7 +108,7 @@ def maf(rows: DataFrame, reference: DataFrame, queries: DataFrame) -> DataFrame:
 def delta(rows: DataFrame, reference: DataFrame, queries: DataFrame, paths: tuple[str, str] = ("reference", "query")) -> DataFrame:
     order = ["ref_id", *ORDER]
     placed = _placed(rows, reference, queries, order)
-    new = F.coalesce(F.lag(F.struct("ref_id", "query_id")).over(Window.orderBy("at")) != F.struct("ref_id", "query_id"), F.lit(True))
+    new = F.row_number().over(Window.partitionBy("ref_id", "query_id").orderBy("at")) == 1  # a pair's rows follow each other
     first, last = F.when(F.col("strand") == "+", F.col("qb") + 1).otherwise(F.col("qe")), F.when(F.col("strand") == "+", F.col("qe")).otherwise(F.col("qb") + 1)
     pair = F.when(new, F.concat_ws(" ", F.concat(F.lit(">"), "ref_name"), "query_name", F.col("ref_n").cast("string"), F.concat(F.col("query_n").cast("string"), F.lit("\n")))).otherwise(F.lit(""))
     place = F.concat_ws(" ", *[c.cast("string") for c in (F.col("rb") + 1, F.col("re"), first, last, F.col("edits"), F.col("edits"), F.lit(0))])
@@ -135,6 +154,12 @@ def publish(text: DataFrame, path: str) -> None:
         fs.delete(staging, True)
 
 
+def withdrawn(spark: SparkSession, path: str) -> None:
+    """Take back a file that was put in place."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def read_paf(spark: SparkSession, path: str) -> DataFrame:
     """query, query_n, qb, qe, strand, ref, ref_n, rb, re, matches, columns, cigar of a PAF's lines; an InputError if one has too few fields."""
     parts = spark.read.text(path).where("value <> ''").select(F.split("value", "\t").alias("f"), "value")

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.errors import IndexError_, OutputError
-from strandline.functions.sequence import ambiguous, fingerprint, kmers
+from strandline.functions.sequence import MOST_PACKED, ambiguous, fingerprint, kmers
 
-VERSION = 1
+VERSION = 2
 
 
 @dataclass
@@ -25,13 +25,22 @@ def manifest_of(reference: DataFrame, k: int) -> DataFrame:
 
 
 def build(reference: DataFrame, path: str, k: int = 20) -> None:
-    """Write the index of (seq_id, name, bases) under ``path``, which mustn't exist; the manifest comes last, so an index cut short has none."""
+    """Write the index of (seq_id, name, bases) to ``path``, which mustn't exist: beside it first, read back and checked there, then renamed."""
     spark = reference.sparkSession
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    jvm = spark.sparkContext._jvm
+    place, staging = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.staging")
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(place):
         raise OutputError(f"{path} exists")
-    kmers(reference, k).repartition("kmer").sortWithinPartitions("kmer").write.parquet(f"{path}/kmers")
-    manifest_of(reference, k).write.parquet(f"{path}/manifest")
+    try:
+        made = kmers(reference, k, packed=k <= MOST_PACKED)
+        made.repartition("kmer").sortWithinPartitions("kmer").write.mode("overwrite").parquet(f"{path}.staging/kmers")
+        manifest_of(reference, k).write.mode("overwrite").parquet(f"{path}.staging/manifest")
+        load(spark, f"{path}.staging", reference)
+        if files.exists(place) or not files.rename(staging, place):
+            raise OutputError(f"{path} can't be put in place")
+    finally:
+        files.delete(staging, True)
 
 
 def load(spark: SparkSession, path: str, reference: DataFrame | None = None) -> Index:
