@@ -48,10 +48,10 @@ MIDDLE_PART = 8
 SLOTS = 15
 SLOT_MOST = 15
 #: N-grams are examined for being shared up to this part of the hashes, times 1 - t, and so many more of each set.
-EXAMINED = 1.75
+EXAMINED = 1.4
 EXAMINED_MORE = 8
 #: They are examined in so many slices of their hashes, one slice's shuffle on disk at a time.
-SLICES = 4
+SLICES = 6
 #: Sets found alone leave until a round drops less than this part.
 LEAST_DROPPED = 0.1
 #: Documents to be compared are found by a broadcast of their ids up to this number (16 MB), else by a shuffle.
@@ -89,7 +89,22 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)])))
 
 
+def _keys(n: int):
+    """(id, n, key) of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, key = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for row, s in _sets(batch, n):
+                size[row], key[row] = len(s), _key(s)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size), pa.array(key)], ["id", "n", "key"])
+
+    return run
+
+
 def _summaries(n: int, hundredths: int):
+    """What is needed of each text's set to find candidates; texts without words are left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.num_rows
@@ -105,9 +120,8 @@ def _summaries(n: int, hundredths: int):
                 maps[row] = np.packbits(np.bincount(place, minlength=64 * words) & 1 == 1).view(np.int64)
                 middle[row] = np.bitwise_xor.reduce(maps[row].reshape(-1, max(FOLDED_WORDS, words // MIDDLE_PART)), 0)
                 small[row] = np.bitwise_xor.reduce(maps[row].reshape(-1, FOLDED_WORDS), 0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(size), pa.array(key), pa.array(examined), _lists(head), _lists(maps), _lists(middle), _lists(list(small))], ["id", "n", "key", "examined", "head", "map", "middle", "small"]
-            )
+            made = pa.RecordBatch.from_arrays([pa.array(size), pa.array(key), pa.array(examined), _lists(head), _lists(maps), _lists(middle), _lists(list(small))], ["n", "key", "examined", "head", "map", "middle", "small"])
+            yield made.filter(pa.array(size > 0))
 
     return run
 
@@ -187,7 +201,7 @@ def _shared_heads(owners: DataFrame, slots: Column, slices: int) -> tuple[DataFr
     for k in range(slices):
         own = F.filter("head", lambda x: F.pmod(x["token"], F.lit(slices)) == k) if slices > 1 else F.col("head")
         entries = owners.select("key", "block", F.explode(own).alias("x")).select("x.token", "key", "block", "x.pos")
-        listed = entries.groupBy("token").agg(F.count("*").alias("listed"), F.try_sum(slots).alias("slots")).where("listed > 1")
+        listed = cut(entries.groupBy("token").agg(F.count("*").alias("listed"), F.try_sum(slots).alias("slots")).where("listed > 1"))  # so that a common token's entries can be split
         part, path = stored(entries.join(listed, "token").where(_has_company("listed", "slots")).select("key", "pos", "token"), "heads")
         parts.append(part)
         paths.append(path)
@@ -200,15 +214,16 @@ def _not_alone(owners: DataFrame, hundredths: int) -> DataFrame:
     slots = F.expr(f"shiftleft(1L, cast(4 * (block % {SLOTS}) as int))")
     block = F.floor(F.log(F.col("n").cast("double")) / F.lit(BLOCK_STEP * log(100 / hundredths))).cast("int")
     heads = owners.select("key", "n", "examined", block.alias("block"), F.transform("head", lambda x, i: F.struct(i.alias("pos"), x.alias("token"))).alias("head"))
-    slices, before = SLICES, None
+    slices, before, held = SLICES, None, None
     while True:
         shared, paths = _shared_heads(heads, slots, slices)
         unshared = F.col("examined") - F.size(F.filter("head", lambda x: x["pos"] < F.col("examined")))
         prefix = F.col("n") - F.ceil(F.col("n") * hundredths / F.lit(100)) + 1
         heads = heads.drop("head").join(shared, "key").where(unshared < prefix)
-        heads = cut(heads)
-        for path in paths:
-            removed(spark, path)
+        heads, path = stored(heads, "heads")
+        for done in (*paths, *([held] if held else [])):
+            removed(spark, done)
+        held = path
         now = heads.count()
         if before is not None and now >= (1 - LEAST_DROPPED) * before:
             break
@@ -216,7 +231,9 @@ def _not_alone(owners: DataFrame, hundredths: int) -> DataFrame:
     # All that is examined and not in the head any more is unshared and lies before what isn't examined.
     at = lambda x, i: F.when(x["pos"] < F.col("examined"), i).otherwise(x["pos"] - unshared.cast("int"))
     entries = F.filter(F.transform("head", lambda x, i: F.struct(at(x, i).alias("pos"), x["token"].alias("token"))), lambda x: x["pos"] < prefix - unshared)
-    return cut(heads.select("key", "n", "block", (F.col("n") - unshared).alias("left"), entries.alias("entries")))
+    kept = cut(heads.select("key", "n", "block", (F.col("n") - unshared).alias("left"), entries.alias("entries")))
+    removed(spark, held)
+    return kept
 
 
 def _mapped(pairs: DataFrame, maps: DataFrame, hundredths: int, by: tuple[str, ...]) -> DataFrame:
@@ -251,15 +268,15 @@ def jaccard_components(docs: DataFrame, n: int = N, hundredths: int = HUNDREDTHS
     null, and null if it has none. An empty table gives an empty one.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    base = cut(rows.mapInArrow(_summaries(n, hundredths), "id long, n long, key long, examined int, head array<long>, map array<long>, middle array<long>, small array<long>"))
+    base = cut(rows.mapInArrow(_keys(n), "id long, n long, key long"))
     classes = base.where("n > 0").groupBy("key").agg(F.min("id").alias("least"), F.max("n").alias("n"))
     reps = classes.select("key", F.col("least").alias("id"))
-    # A key has one representative, so (key, id) is unique as key is; it is what the join has dealt by.
-    same = (base["key"] == reps["key"]) & base["id"].eqNullSafe(reps["id"])
-    owners = base.where("n > 0").join(reps, same, "left_semi").dropDuplicates(["key", "id"]).select("key", "n", "examined", "head", "map", "middle", "small")
-    owners = cut(owners)
+    # Equal sets have equal summaries; they are made again from the texts rather than kept for every row.
+    summaries = rows.mapInArrow(_summaries(n, hundredths), "n long, key long, examined int, head array<long>, map array<long>, middle array<long>, small array<long>")
+    owners, owners_path = stored(summaries.dropDuplicates(["key"]), "owners")
     kept = _not_alone(owners, hundredths)
     owners = cut(owners.drop("examined", "head").join(kept.select("key"), "key", "left_semi"))
+    removed(docs.sparkSession, owners_path)
     maps = owners.select("key", "map", "middle")
     shared, shared_path = stored(kept.select("block", "key", "n", "left", F.explode("entries").alias("x")).select("x.token", "block", "key", "n", "left", "x.pos"), "shared")
 
