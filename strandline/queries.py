@@ -448,7 +448,7 @@ _MAM = _MEM + """,
 mam AS (SELECT * FROM mem m WHERE NOT EXISTS (SELECT 1 FROM mem o WHERE o.query_id = m.query_id AND o.strand = m.strand AND o.oqb <= m.oqb AND o.oqe >= m.oqe AND (o.ref_id <> m.ref_id OR o.rb <> m.rb OR o.oqb <> m.oqb)))"""
 _SPAN = _MEM + ", span AS (SELECT query_id, strand, ref_id, qb AS b, qb + len AS e FROM mem)"
 _ISLAND = """
-w AS (SELECT *, max(e) OVER (PARTITION BY {0} ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM {1}),
+w AS (SELECT *, max(e) OVER (PARTITION BY {0} ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM (SELECT DISTINCT {0}, b, e FROM {1})),
 v AS (SELECT *, sum(CASE WHEN r IS NULL OR b > r THEN 1 ELSE 0 END) OVER (PARTITION BY {0} ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM w),
 u AS (SELECT {0}, min(b) AS b, max(e) AS e FROM v GROUP BY {0}, k)"""
 _WIN = """,
@@ -575,8 +575,8 @@ SELECT query_id, min(p) AS "begin", max(q) AS "end", CAST(any_value(mask) AS INT
     "rarity_weight": f"""WITH {_MEM}, x AS (SELECT *, count(*) OVER (PARTITION BY query_id, strand, oqb, oqe) AS reference_count, count(*) OVER (PARTITION BY ref_id, query_id, strand, rb, len) AS query_count FROM mem)
 SELECT {_COLS}, reference_count, query_count, len / sqrt(CAST(reference_count * query_count AS DOUBLE)) AS weight FROM x""",
     "component_split": f"""WITH {_MEM}, s AS (SELECT DISTINCT {_COLS}, rb + len AS re FROM mem),
-a AS (SELECT *, max(re) OVER (PARTITION BY ref_id, query_id, strand ORDER BY rb, re ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM s),
-b AS (SELECT *, sum(CASE WHEN r IS NULL OR rb > r + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY ref_id, query_id, strand ORDER BY rb, re ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM a)
+a AS (SELECT *, max(re) OVER (PARTITION BY ref_id, query_id, strand ORDER BY rb, re, qb ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM s),
+b AS (SELECT *, sum(CASE WHEN r IS NULL OR rb > r + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY ref_id, query_id, strand ORDER BY rb, re, qb ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM a)
 SELECT ref_id, query_id, strand, CAST(c AS BIGINT) AS component, count(*) AS n, min(rb) AS rb, max(re) AS re FROM b GROUP BY ref_id, query_id, strand, c""",
     "adjacency_gaps": f"""WITH {_MEM}, span AS (SELECT ref_id, query_id, strand, CASE WHEN strand = '+' THEN qb - rb ELSE qb + len + rb END AS dg, rb AS b, rb + len AS e FROM mem), {_ISLAND.format('ref_id, query_id, strand, dg', 'span')},
 m AS (SELECT ref_id, b AS rb, query_id, CASE WHEN strand = '+' THEN dg + b ELSE dg - e END AS qb, e - b AS len, strand FROM u),
