@@ -126,6 +126,16 @@ def align_pair(spark: SparkSession, given: argparse.Namespace) -> None:
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     given = parser().parse_args(args)
+    mine = threading.current_thread() is threading.main_thread()
+    before = signal.signal(signal.SIGTERM, _ended) if mine else None
+    try:
+        return _run(given, args, spark)
+    finally:
+        if mine:
+            signal.signal(signal.SIGTERM, before)
+
+
+def _run(given: argparse.Namespace, args: list[str] | None, spark: SparkSession | None) -> int:
     log = None
     try:
         wanted = {} if given.command != "align" or given.centromere else outputs(given.output)
@@ -135,7 +145,6 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             if given.print_effective_config:
                 print("\n".join(f"{k}={v}" for k, v in sorted(vars(given).items())))
         spark = spark or SparkSession.builder.appName("strandline").getOrCreate()
-        signal.signal(signal.SIGTERM, _ended) if threading.current_thread() is threading.main_thread() else None
         if given.log_dir:
             log = RunLog(spark, given.log_dir, ["strandline", *(args if args is not None else sys.argv[1:])])
         if given.command == "index":

@@ -109,8 +109,8 @@ def regions(labels: DataFrame, matches: DataFrame, carried: int = CARRIED) -> Da
 ANCHOR = "pair_id long, region_id long, chain_index long, reference_begin long, reference_end long, query_begin long, query_end long, strand string, length long, weight double"
 
 
-def directed_anchors(matches: DataFrame, found: DataFrame) -> DataFrame:
-    """ANCHOR: the best chain of matches of each region's direction inside it.
+def directed_anchors(matches: DataFrame, found: DataFrame, windows: DataFrame | None = None) -> DataFrame:
+    """ANCHOR: the best chain of matches of each region's direction inside it, and inside its window (pair_id, region_id, reference_begin, reference_end) of the reference if there are any.
 
     A chain's score is the weight of its matches less the discordance of its steps; a step that would cost more than its match
     brings leaves it a little. Matches in a chain don't overlap on either sequence.
@@ -119,6 +119,9 @@ def directed_anchors(matches: DataFrame, found: DataFrame) -> DataFrame:
         found.select("pair_id", "strand", "region_id", "query_begin", "query_end"), matches.select("pair_id", "strand", "rb", "qb", (F.col("qb") + F.col("len")).alias("qe"), "len", "weight"), ["pair_id", "strand"], (F.col("qb") >= F.col("query_begin")) & (F.col("qe") <= F.col("query_end")), ("query_begin", "query_end"), ("qb", "qe"), STEP
     )
 
+    if windows is not None:
+        clipped = clipped.join(windows, ["pair_id", "region_id"]).where((F.col("rb") >= F.col("reference_begin")) & (F.col("rb") + F.col("len") <= F.col("reference_end")))
+
     def chain(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         pair, region, strand = key
         items = sorted((int(q), int(r), int(n), float(w)) for q, r, n, w in zip(rows["qb"], rows["rb"], rows["len"], rows["weight"], strict=True))
@@ -240,6 +243,35 @@ def stitch(anchors: DataFrame, reference: DataFrame, queries: DataFrame, most_ce
     return segments.select("*", scoring.stitched_score(c).alias("score"), cigar.matches(c).alias("matches"), cigar.edits(c).alias("edits")), gaps
 
 
+def whole_pairs(anchors: DataFrame, reference: DataFrame, queries: DataFrame) -> DataFrame:
+    """(pair_id, cigar, score, matches, edits): one end-to-end record of each pair, every gap between its anchors and at both ends closed by the control kernel.
+
+    anchors: forward ones in order on both sequences. The score is the cost, negated; neighbouring gaps are one.
+    """
+    refs = reference.select(F.col("seq_id").alias("pair_id"), F.col("bases").alias("r"))
+    qs = queries.select(F.col("seq_id").alias("pair_id"), F.col("bases").alias("q"))
+    both = refs.join(qs, "pair_id")
+    spot = lambda r, q, n, side: F.struct(F.lit(side).alias("side"), r.cast("long").alias("rb"), q.cast("long").alias("qb"), n.cast("long").alias("n"))
+    ends = both.select("pair_id", F.explode(F.array(spot(F.lit(0), F.lit(0), F.lit(0), 0), spot(F.length("r"), F.length("q"), F.lit(0), 2))).alias("x")).select("pair_id", "x.*")
+    rows = anchors.select("pair_id", F.lit(1).alias("side"), F.col("reference_begin").alias("rb"), F.col("query_begin").alias("qb"), F.col("length").cast("long").alias("n")).unionByName(ends)
+    order = Window.partitionBy("pair_id").orderBy("side", "rb", "qb")
+    placed = rows.select("pair_id", "n", F.row_number().over(order).alias("at"), (F.col("rb") + F.col("n")).alias("rb"), F.lead("rb").over(order).alias("re"), (F.col("qb") + F.col("n")).alias("qb"), F.lead("qb").over(order).alias("qe"))
+    part = lambda s, b, e: F.coalesce(F.expr(f"cast(substring(cast({s} as binary), int({b} + 1), int({e} - {b})) as string)"), F.lit(""))
+    bases = placed.join(both, "pair_id").select("pair_id", "at", "n", part("r", "rb", "re").alias("ref_part"), part("q", "qb", "qe").alias("query_part"))
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            paths = [[{"op": "=", "len": int(n)}] * (n > 0) + [{"op": op, "len": k} for op, k in kernels.control_gap(r, q)] for n, r, q in zip(part["n"], part["ref_part"], part["query_part"], strict=True)]
+            yield pd.DataFrame({"pair_id": part["pair_id"], "at": part["at"], "path": paths})
+
+    closed = bases.mapInPandas(close, f"pair_id long, at int, path {cigar.TYPE}")
+    joined = closed.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("at", "path"))).alias("parts"))
+    whole = joined.select("pair_id", cigar.merged(F.flatten(F.transform("parts", lambda p: p["path"]))).alias("cigar"))
+    c = F.col("cigar")
+    cost = F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + F.when(x["op"] == "X", x["len"] * scoring.CONTROL_MISMATCH).when(x["op"] == "=", F.lit(0)).otherwise(scoring.two_piece_gap(x["len"])))
+    return whole.select("pair_id", "cigar", (-cost).alias("score"), cigar.matches(c).alias("matches"), cigar.edits(c).alias("edits"))
+
+
 def disjoint_flags(segments: DataFrame) -> DataFrame:
     """With flag: 0 for a query's representative (of the primary paths, most paired bases, then the lowest id), 2048 for a later one that overlaps none
     admitted before on the query, 256 for one that does; 16 more on the reverse strand. What isn't admitted takes no room."""

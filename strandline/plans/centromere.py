@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.errors import InputError
-from strandline.operators import centromere, copies, intervals
+from strandline.operators import centromere, copies, intervals, orientation
 
 
 @dataclass
@@ -34,6 +34,13 @@ def check_directions(directions: DataFrame) -> None:
         raise InputError("regions overlap")
 
 
+def align_whole(reference: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """One forward end-to-end record of each pair of (seq_id, bases): anchors over the whole of it, and every gap by the control kernel."""
+    matches = centromere.rare_matches(reference, queries, k, strands="+")
+    whole = queries.select(F.col("seq_id").alias("pair_id"), F.lit(1).cast("long").alias("region_id"), F.lit(0).cast("long").alias("query_begin"), F.length("bases").cast("long").alias("query_end"), F.lit("+").alias("strand"))
+    return centromere.whole_pairs(centromere.directed_anchors(matches, whole), reference, queries)
+
+
 def align_centromere(reference: DataFrame, queries: DataFrame, directions: DataFrame | None = None, k: int = 20, window: int = centromere.WINDOW, step: int = centromere.STEP) -> Centromere:
     """Align the pairs of (seq_id, bases) that have equal ids; ``directions`` replaces the orientation plan."""
     matches = centromere.rare_matches(reference, queries, k).persist()
@@ -45,8 +52,11 @@ def align_centromere(reference: DataFrame, queries: DataFrame, directions: DataF
         check_directions(directions)
         regions = directions
     regions = regions.persist()
-    anchors = centromere.directed_anchors(matches, regions).persist()
     both = extents.withColumnRenamed("length", "query_length").join(reference.select(F.col("seq_id").alias("pair_id"), F.length("bases").cast("long").alias("reference_length")), "pair_id")
+    free = centromere.directed_anchors(matches, regions)
+    # A reverse region between forward ones is searched between their anchors if its own reach beyond them.
+    windows = orientation.flank_windows(regions, free, both)
+    anchors = centromere.directed_anchors(matches, regions, windows).persist()
     plain = centromere.numbered(anchors).select("pair_id", "anchor_id", F.col("reference_begin").alias("rb"), F.col("query_begin").alias("qb"), F.col("length").alias("len"), "strand")
     segments, gaps = centromere.stitch(anchors, reference, queries)
     segments = segments.persist()

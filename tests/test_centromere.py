@@ -7,7 +7,7 @@ from strandline.errors import InputError
 from strandline.functions import scoring
 from strandline.functions.kernels import reverse_complement
 from strandline.operators import centromere
-from strandline.plans.centromere import align_centromere
+from strandline.plans.centromere import align_centromere, align_whole
 
 RANDOM = random.Random(918)
 CORE = "".join(RANDOM.choice("ACGT") for _ in range(3000))
@@ -64,3 +64,14 @@ def test_later_segments_take_no_room(spark):
     rows = [(0, 1, "+", 0, 10, path(10)), (0, 2, "-", 5, 30, path(25)), (0, 3, "+", 30, 40, path(10)), (0, 4, "+", 0, 5, path(5))]
     df = spark.createDataFrame(rows, "pair_id long, segment_id long, strand string, qb long, qe long, cigar array<struct<op:string,len:bigint>>")
     assert {r.segment_id: r.flag for r in centromere.disjoint_flags(df).collect()} == {1: 256, 2: 16, 3: 2048, 4: 2048}
+
+
+def test_whole_pairs(spark):
+    row = align_whole(frame(spark, CORE), frame(spark, "AC" * 8 + EDITED)).first()
+    ops = {c.op: 0 for c in row.cigar}
+    for c in row.cigar:
+        ops[c.op] += c.len
+    assert ops["="] + ops["X"] + ops["D"] == len(CORE) and ops["="] + ops["X"] + ops["I"] == len(EDITED) + 16
+    cost = sum(3 * c.len if c.op == "X" else 0 if c.op == "=" else min(4 + 2 * c.len, 12 + c.len) for c in row.cigar)
+    assert row.score == -cost and row.matches == ops["="]
+    assert cost <= 20 * 3 + min(4 + 2 * 16, 12 + 16) + 8 + 10

@@ -86,3 +86,26 @@ def test_replay_and_tags():
     assert kernels.gapped([("=", 2), ("I", 1), ("D", 1)], "ACG", "ACT") == ("AC-G", "ACT-")
     with pytest.raises(ValueError):
         kernels.replay([("M", 3)], "AC", "AC")
+
+
+def test_band_is_as_good_as_all_diagonals(monkeypatch):
+    r = random.Random(5)
+    pairs = []
+    for _ in range(60):
+        a = "".join(r.choice("ACGT") for _ in range(r.randrange(1, 120)))
+        b = a
+        for _ in range(r.randrange(6)):
+            at = r.randrange(len(b) + 1)
+            b = b[:at] + "".join(r.choice("ACGTN") for _ in range(r.randrange(40))) + b[at + r.randrange(25) :]
+        pairs.append((a, b))
+    models = (kernels.GENOME, kernels.CENTROMERE, kernels.CONTROL, kernels.EXACT_GAPS)
+    monkeypatch.setattr(kernels, "FIRST_BAND", 1)
+    narrow = [kernels.global_alignment(a, b, s) for a, b in pairs for s in models]
+    monkeypatch.setattr(kernels, "FIRST_BAND", 1000)
+    assert narrow == [kernels.global_alignment(a, b, s) for a, b in pairs for s in models]
+
+
+def test_control_gap():
+    assert kernels.control_gap("ACG", "ATG" + "C" * 200) == [("=", 1), ("X", 1), ("=", 1), ("I", 200)]
+    assert kernels.control_gap("ACGTACGT", "") == [("D", 8)]
+    assert kernels.control_gap("ACGTACGT", "ACGAACGT") == [("=", 3), ("X", 1), ("=", 4)]
