@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import html_text, langid, matroska, toxicity, warc
+from strandline.llm import html_text, langid, matroska, queries, toxicity, warc
 
 FORGED = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
 
@@ -168,3 +168,50 @@ def test_main_text_by_ratios_beside_an_article_mark():
     assert html_text.main_text(page).count("long sentence") == 8
     inside = f"<body><main><div class='x'><p>{prose}</p><p>{prose}</p></div><div class='y'><span>Buy now</span></div></main></body>"
     assert "Buy now" not in html_text.main_text(inside) and html_text.main_text(inside).count("long sentence") == 8
+
+
+def test_warc_query_with_repeated_pages(spark, tmp_path):
+    a, b = "A" * 2000, "B" * 2000
+    rows = [(3, "u", a), (5, "u", a), (5, "v", b), (7, "w", None), (8, "w", "short"), (9, "w", "short")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in queries.op1_warc(spark, str(tmp_path)).collect())
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    assert sorted(got, key=str) == sorted(
+        [(3, 2000, sha(a), "revisit", 5), (5, 2000, sha(a), "response", None), (5, 2000, sha(b), "response", None), (7, 0, sha(""), "response", None), (8, 5, sha("short"), "response", None), (9, 5, sha("short"), "response", None)], key=str
+    )
+
+
+def test_language_filters_against_counted_grams(spark):
+    """The filters hold just the n-grams that a plain count keeps, up to false positives."""
+    texts = {"a": ["abcab cabba", "ab abc"], "b": ["bcdbc dcb", "cbd"]}
+    train = spark.createDataFrame([(lang, t) for lang, own in texts.items() for t in own], "lang string, text string")
+    model = langid.learn(train)
+    counts = {lang: {n: {} for n in langid.GRAMS} for lang in texts}
+    for lang, own in texts.items():
+        for t in own:
+            s = f" {t} ".encode()
+            for n in langid.GRAMS:
+                for k in range(len(s) - n + 1):
+                    counts[lang][n][s[k : k + n]] = counts[lang][n].get(s[k : k + n], 0) + 1
+    share = {lang: {n: {g: c / sum(own.values()) for g, c in own.items()} for n, own in by.items()} for lang, by in counts.items()}
+    wrong = 0
+    for n in langid.GRAMS:
+        for g in set(counts["a"][n]) | set(counts["b"][n]):
+            best = max(share[lang][n].get(g, 0) for lang in texts)
+            value = np.array([int.from_bytes(g, "big") | n << 56], np.uint64)
+            mask = int(model.lookup(value)[0, 0])
+            for k, lang in enumerate(model.langs):
+                own = share[lang][n].get(g, 0)
+                keeps = own >= langid.LEAST_SHARE and own >= langid.SHARE * best
+                assert (mask >> k & 1) or not keeps
+                wrong += bool(mask >> k & 1) and not keeps
+    assert wrong <= 1
+
+
+def test_matroska_sums(spark):
+    import zlib
+
+    docs = spark.createDataFrame([(1, "ab" * 700), (2, None)], "doc_id long, text string")
+    for r in matroska.restore(matroska.store(docs)).collect():
+        whole = matroska.padded(("ab" * 700).encode() if r.id == 1 else b"")
+        assert r.payload_bytes == len(whole) and len(whole) % 576 == 0 and r.tail_crc32 == zlib.crc32(whole[-32:])
