@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions import words
+
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _UPPER = _LOWER.upper()
 
@@ -36,6 +38,8 @@ def folded(text: Column) -> Column:
 
 #: Two bits a base fit a long up to this length.
 MOST_PACKED = 31
+#: Words of a collection of up to so many bases are sent to all tasks (8 bytes each).
+BROADCAST_WORDS = 500_000
 
 
 def kmer_code(kmer: Column) -> Column:
@@ -67,12 +71,26 @@ def kmer_counts(sequences: DataFrame, k: int, bases: str = "bases", id_column: s
 
 
 def unique_words(left: DataFrame, right: DataFrame, k: int = 32) -> DataFrame:
-    """(kmer, left_id, left_pos, right_id, right_pos): words that occur once in each of two collections."""
-
-    def once(side: DataFrame, name: str) -> DataFrame:
-        return kmers(side, k).groupBy("kmer").agg(F.count("*").alias("n"), F.min("seq_id").alias(f"{name}_id"), F.min("pos").alias(f"{name}_pos")).where("n = 1").drop("n")
-
-    return once(left, "left").join(once(right, "right"), "kmer")
+    """(kmer, left_id, left_pos, right_id, right_pos): words that occur once in each of two collections.
+
+    Only words that occur once on the right can be in the result, so of the left no others are counted. They go to all tasks up to
+    BROADCAST_WORDS bases on the right; beyond that, and for k above 32, both sides are shuffled.
+    """
+    short = k <= words.MOST
+
+    def once(found: DataFrame, name: str) -> DataFrame:
+        return found.groupBy("kmer").agg(F.count("*").alias("n"), F.min("seq_id").alias(f"{name}_id"), F.min("pos").alias(f"{name}_pos")).where("n = 1").drop("n")
+
+    if not short:
+        return once(kmers(left, k), "left").join(once(kmers(right, k), "right"), "kmer")
+    others = once(words.words(right, k), "right")
+    if (right.agg(F.sum(F.length("bases"))).first()[0] or 0) <= BROADCAST_WORDS:
+        others = others.persist()
+        found = once(words.words(left, k, others), "left").join(F.broadcast(others), "kmer")
+    else:
+        found = once(words.words(left, k), "left").join(others, "kmer")
+    letters = F.translate(F.lpad(F.conv(F.hex("kmer"), 16, 4), k, "0"), "0123", "ACGT")
+    return found.select(letters.alias("kmer"), "left_id", "left_pos", "right_id", "right_pos")
 
 
 def fingerprint(bases: Column) -> Column:

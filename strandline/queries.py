@@ -41,8 +41,10 @@ def query_sequences(spark: SparkSession, d: str) -> DataFrame:
     own = _table(spark, d, "benchmark").where("text is not null").select(F.col("item_id").alias("seq_id"), sequence.folded(F.col("text")).alias("own"))
     part = lambda b, n, turned: F.reverse(F.translate(F.substring("doc", b, n), "ACGT", "TGCA")) if turned else F.substring("doc", b, n)
     parts = [F.reverse(F.substring("own", 1, SPACER)) if p is None else part(*p) for p in PARTS]
-    both = own.join(references(spark, d).withColumnRenamed("bases", "doc"), "seq_id", "left")
-    return both.select("seq_id", F.concat("own", F.coalesce(F.concat(*parts), F.lit(""))).alias("bases"))
+    # Only the documents of these ids are folded and moved; the few queries are read at many places.
+    docs = references(spark, d).join(F.broadcast(own.select("seq_id")), "seq_id", "left_semi")
+    both = own.join(docs.withColumnRenamed("bases", "doc"), "seq_id", "left")
+    return both.select("seq_id", F.concat("own", F.coalesce(F.concat(*parts), F.lit(""))).alias("bases")).persist()
 
 
 def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
