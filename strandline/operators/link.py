@@ -16,6 +16,7 @@ from strandline.functions.kernels import Cigar
 from strandline.operators.chain import Seed, pruned
 from strandline.operators.intervals import split_components
 from strandline.operators.seeds import KEY
+from strandline.operators.steps import cut
 
 # How far anchors are linked, and how many candidates are looked at.
 REACH = 10_000
@@ -118,9 +119,19 @@ def linked(anchors: list[Anchor], ref: str, query: str) -> list[Anchor]:
     return out
 
 
+#: Sequences are looked up by a broadcast of their ids up to this number (16 MB), else all are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def only(sequences: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """The sequences (seq_id, ...) that ``rows`` name in ``column``: what isn't asked for isn't moved. ``rows`` are read for this."""
+    ids = cut(rows.select(F.col(column).alias("seq_id")).distinct())
+    return sequences.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "seq_id", "left_semi")
+
+
 def stretches(parts: DataFrame, reference: DataFrame, queries: DataFrame) -> DataFrame:
     """The rows (KEY, rb, re, qb, qe) with ref_part and query_part: their bases, the query's as it is on the forward strand."""
-    refs = reference.select(F.col("seq_id").alias("ref_id"), F.col("bases").cast("binary").alias("_r"))
+    refs = only(reference, parts, "ref_id").select(F.col("seq_id").alias("ref_id"), F.col("bases").cast("binary").alias("_r"))
     qs = queries.select(F.col("seq_id").alias("query_id"), F.col("bases").cast("binary").alias("_q"))
     cut_r = F.expr("cast(substring(_r, int(rb + 1), int(re - rb)) as string)").alias("ref_part")
     cut_q = F.expr("cast(substring(_q, int(qb + 1), int(qe - qb)) as string)").alias("query_part")
@@ -129,7 +140,7 @@ def stretches(parts: DataFrame, reference: DataFrame, queries: DataFrame) -> Dat
 
 def align_chains(chains: DataFrame, reference: DataFrame, queries: DataFrame) -> DataFrame:
     """ALIGNMENT: linked anchors of all chains; qb and qe are on the forward query, the CIGAR follows the reference."""
-    split = split_components(chains, KEY, "rb", "re", REACH).select(*KEY, "component", "rb", "re", "qb", "qe", "seeds")
+    split = cut(split_components(chains, KEY, "rb", "re", REACH).select(*KEY, "component", "rb", "re", "qb", "qe", "seeds"))
     by = [*KEY, "component"]
     extents = split.groupBy(*by).agg(F.min("rb").alias("rb"), F.max("re").alias("re"), F.min("qb").alias("qb"), F.max("qe").alias("qe"))
     bases = stretches(extents, reference, queries)

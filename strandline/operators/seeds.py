@@ -1,7 +1,7 @@
 """Exact-match seeds between two collections of sequences as joins.
 
 A maximal exact match is an island of k-mer hits on one diagonal, so an equi join on k-mers and one window give all
-of them, whatever the partitioning. Whether a match's string occurs elsewhere in the reference shows in the matches
+of them, whatever the partitioning; few queries go to the references instead, and nothing is shuffled. Whether a match's string occurs elsewhere in the reference shows in the matches
 themselves: an occurrence elsewhere is part of another match of the same query stretch, which contains this one's
 stretch. So uniqueness is a running maximum, without joining the reference to itself.
 
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.sequence import MOST_PACKED, kmers, reverse_complement
+from strandline.functions.words import MOST, matches, words
 from strandline.operators.intervals import contained, covered_by, union
 
 MODES = ("fast", "mumreference", "mum", "smem", "maxmatch")
@@ -34,14 +35,18 @@ def mems(reference: DataFrame, queries: DataFrame, k: int = MIN_MATCH, strands:
 
     reference and queries: (seq_id, bases). ``indexed`` has the reference's k-mers (seq_id, pos, kmer), packed if k allows, as an index keeps them.
     """
-    packed = k <= MOST_PACKED
     both = oriented(queries).where(F.col("strand").isin(*strands))
+    total = both.agg(F.sum("length")).first()[0] or 0
+    if indexed is None and k <= MOST and total <= BROADCAST_KMERS:
+        return matches(reference, both, k)
+    packed = k <= MOST_PACKED
     query_kmers = kmers(both.withColumn("id", F.struct("query_id", "strand", "length")), k, "id", packed=packed)
     query_kmers = query_kmers.select("kmer", F.col("pos").alias("j"), "id.*")
-    total = both.agg(F.sum("length")).first()[0] or 0
     if total <= BROADCAST_KMERS:
         query_kmers = F.broadcast(query_kmers)
-    own = kmers(reference, k, packed=packed) if indexed is None else indexed
+    if indexed is None:
+        indexed = words(reference, k) if packed else kmers(reference, k)
+    own = indexed
     hits = own.select("kmer", F.col("pos").alias("i"), F.col("seq_id").alias("ref_id")).join(query_kmers, "kmer").drop("kmer")
     diagonal = Window.partitionBy(*KEY, "diagonal").orderBy("i")
     marked = hits.withColumn("diagonal", F.col("i") - F.col("j")).withColumn("island", F.col("i") - F.row_number().over(diagonal))
@@ -100,6 +105,8 @@ def seeds(reference: DataFrame, queries: DataFrame, mode: str = "fast", k: int =
     if mode not in MODES:
         raise ValueError(f"unknown seed mode {mode!r}")
     found = mems(reference, queries, k, indexed=indexed)
+    if mode in ("fast", "smem"):
+        found = found.persist()  # read several times
     chosen = {"fast": fast, "mumreference": mams, "mum": mums, "smem": lambda m: smems(m, k, least), "maxmatch": lambda m: m}[mode](found)
     return chosen.select("ref_id", "rb", "query_id", "qb", "len", "strand").distinct()
 

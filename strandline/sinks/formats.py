@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandline.errors import InputError, OutputError, UsageError
 from strandline.functions import cigar, kernels
-from strandline.operators.link import stretches
+from strandline.operators.link import only, stretches
 from strandline.operators.select import ORDER
 
 FORMATS = ("sam", "paf", "maf", "delta", "chain")
@@ -35,6 +35,7 @@ def numbered(rows: DataFrame, order: list[str], name: str = "at") -> DataFrame:
     sees more than the rows of one sequence, the sequences of one group, or the groups.
     """
     by = order[0]
+    rows = rows.persist()  # read for the sizes too
     sizes = rows.groupBy(by).agg(F.count("*").alias("_n")).withColumn("_group", F.floor(F.col(by) / GROUP))
     before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     groups = sizes.groupBy("_group").agg(F.sum("_n").alias("_n")).select("_group", before(Window.orderBy("_group")).alias("_base"))
@@ -44,7 +45,8 @@ def numbered(rows: DataFrame, order: list[str], name: str = "at") -> DataFrame:
 
 
 def _placed(rows: DataFrame, reference: DataFrame, queries: DataFrame, order: list[str] | None = None) -> DataFrame:
-    refs = reference.select(F.col("seq_id").alias("ref_id"), escaped(F.col("name")).alias("ref_name"), F.length("bases").cast("long").alias("ref_n"))
+    rows = rows.persist()  # as in numbered
+    refs = only(reference, rows, "ref_id").select(F.col("seq_id").alias("ref_id"), escaped(F.col("name")).alias("ref_name"), F.length("bases").cast("long").alias("ref_n"))
     qs = queries.select(F.col("seq_id").alias("query_id"), escaped(F.col("name")).alias("query_name"), F.length("bases").cast("long").alias("query_n"))
     return numbered(rows, order or ORDER).join(refs, "ref_id").join(qs, "query_id")
 
@@ -88,7 +90,13 @@ def _with_text(rows: DataFrame, reference: DataFrame, queries: DataFrame, what:
 
 def sam(rows: DataFrame, reference: DataFrame, queries: DataFrame) -> DataFrame:
     spark = rows.sparkSession
-    placed = _with_text(_placed(rows, reference, queries), reference, queries, "md")
+    placed = _placed(rows, reference, queries)
+    # Without bases of the reference that the query hasn't, MD is the number of matches.
+    plain = ~F.exists("cigar", lambda c: c["op"].isin("X", "D"))
+    matched = F.aggregate("cigar", F.lit(0).cast("long"), lambda n, c: n + F.when(c["op"] == "=", c["len"]).otherwise(0))
+    other = rows.where(~plain).limit(1).count()
+    short = (placed.where(plain) if other else placed).withColumn("x", matched.cast("string"))
+    placed = short.unionByName(_with_text(placed.where(~plain), reference, queries, "md").drop("y")) if other else short
     names = reference.select(F.lit(0).alias("part"), (F.col("seq_id") + 1).cast("long").alias("at"), F.concat_ws("\t", F.lit("@SQ"), F.concat(F.lit("SN:"), escaped(F.col("name"))), F.concat(F.lit("LN:"), F.length("bases"))).alias("line"))
     program = spark.createDataFrame([(0, 0, "@HD\tVN:1.6\tSO:unknown"), (0, (1 << 62), "@PG\tID:strandline\tPN:strandline")], "part int, at long, line string")
     flag = F.when(F.col("strand") == "-", 16).otherwise(0) + F.when(F.col("primary"), 0).otherwise(2048)

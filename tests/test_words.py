@@ -61,3 +61,43 @@ def test_words_keep_the_wanted_ones_only(spark):
     wanted = spark.createDataFrame([("TACG",)], "kmer string").select(sequence.kmer_code(F.col("kmer")).alias("kmer"))
     assert [tuple(r)[:2] for r in words.words(rows, 4, wanted).collect()] == [(1, 3)]
     assert words.words(rows, 4, wanted.limit(0)).count() == 0
+
+
+def test_matches_are_made_in_the_scan(spark, monkeypatch):
+    from strandline.operators import seeds
+
+    rng = random.Random(5)
+    refs = [(i, "".join(rng.choices("ACGT", k=90)) + "N" * (i % 2)) for i in range(5)] + [(9, "A" * 60), (10, "")]
+    turned = refs[2][1][10:70].translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    queries = [(0, refs[0][1][5:50] + refs[1][1][20:60]), (1, turned + "A" * 14 + refs[0][1][30:45]), (2, "ACG")]
+    table = lambda rows: spark.createDataFrame(rows, "seq_id long, bases string")
+    few = lambda: sorted(map(tuple, seeds.mems(table(refs), table(queries), 12).collect()))
+    got = few()
+    assert "Exchange" not in seeds.mems(table(refs), table(queries), 12)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(words, "STEP", 17)
+    monkeypatch.setattr(words, "HITS", 3)
+    assert few() == got and len(got) > 40
+    monkeypatch.setattr(seeds, "BROADCAST_KMERS", 0)
+    assert few() == got
+
+
+def test_chance_matches_are_no_groups_of_their_own(spark):
+    from strandline.operators import chain
+
+    rows = [(r, 5, 1, 10 * r, 20, "+") for r in range(30)] + [(50, 0, 1, 0, 40, "+"), (50, 45, 1, 45, 40, "+")]
+    found = chain.chains(spark.createDataFrame(rows, "ref_id long, rb long, query_id long, qb long, len long, strand string"))
+    assert "_size#" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["ref_id"], r["weight"]) for r in found.collect()] == [(50, 80)]
+
+
+def test_md_of_plain_and_other_paths(spark):
+    from strandline.sinks import formats
+
+    path = "cigar array<struct<op:string,len:bigint>>"
+    rows = spark.createDataFrame(
+        [(1, 0, 6, 1, 0, 6, "+", [("=", 6)], 54, 0, 6, 6, True), (1, 6, 12, 1, 6, 13, "+", [("=", 2), ("X", 1), ("I", 2), ("D", 1), ("=", 2)], 9, 4, 4, 8, False)],
+        f"ref_id long, rb long, re long, query_id long, qb long, qe long, strand string, {path}, score long, edits long, matches long, columns long, primary boolean",
+    )
+    bases = spark.createDataFrame([(1, "a", "ACGTACGTACGTTT"), (2, "b", "AAAA")], "seq_id long, name string, bases string")
+    lines = formats.sam(rows, bases, bases).where("part = 1").orderBy("at")
+    assert [r["line"].split("\t")[12] for r in lines.collect()] == ["MD:Z:6", "MD:Z:2A0^C2"]
