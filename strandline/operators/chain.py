@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.intervals import split_components
@@ -147,6 +147,9 @@ def chains(seeds: DataFrame, options: ChainOptions = ChainOptions()) -> DataFram
     """CHAIN: the best chain of each cluster whose seeds have min_cluster bases or more."""
     ends = seeds.withColumn("_qe", F.col("qb") + F.col("len"))
     parts = split_components(ends, KEY, "qb", "_qe", options.max_gap).drop("_qe")
+    # No chain is longer than all seeds of its part; most parts are a chance match or two.
+    size = F.sum("len").over(Window.partitionBy(*KEY, "component"))
+    parts = parts.withColumn("_size", size).where(F.col("_size") >= options.min_cluster).drop("_size")
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         strand = key[2]

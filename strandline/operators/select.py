@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.steps import cut
+
 #: An alignment's predecessor is among so many before it.
 WINDOW = 5_000
 ORDER = ["query_id", "qb", "ref_id", "rb", "strand", "qe", "re"]
@@ -79,7 +81,7 @@ def numbered(alignments: DataFrame) -> DataFrame:
 
 def bilateral(alignments: DataFrame) -> DataFrame:
     """The alignments with ref_selected and query_selected; what is selected on both axes is one to one."""
-    rows = numbered(alignments).dropDuplicates(["aid"])
+    rows = cut(numbered(alignments).dropDuplicates(["aid"]))  # read once for each axis
     on_ref = _one_axis(rows, "ref_id", "rb", "re", "ref_selected")
     on_query = _one_axis(rows, "query_id", "qb", "qe", "query_selected")
     return rows.join(on_ref, "aid").join(on_query, "aid").drop("aid")
