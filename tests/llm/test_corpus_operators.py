@@ -469,3 +469,19 @@ def test_near_duplicates_stage_links_from_four_fifths_of_five_word_shingles(spar
     assert 0.81 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.83
     rows = frame(spark, [(k, " ".join(x)) for k, x in enumerate((words, longer, other))])
     assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, rows, "").collect()) == [0, 2]
+
+
+@pytest.mark.parametrize("small", [16, 0])
+def test_passages_of_later_families_under_one_key(spark, monkeypatch, small):
+    monkeypatch.setattr(compact_windows, "SMALL", small)
+    monkeypatch.setattr(compact_windows, "BLOCK", 4)
+    r = random.Random(77)
+    fresh = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
+    # Two texts for each phrase and tail, with a word between that is replaced; the first text with either has the other not.
+    phrases, tails, rows, links = [fresh(26) for _ in range(4)], [fresh(26) for _ in range(4)], [], set()
+    for phrase in phrases:
+        for tail in tails:
+            links.add((len(rows) + 1, len(rows)))
+            rows += [(len(rows) + k, " ".join([*fresh(30), *phrase, *fresh(1), *tail, *fresh(30)])) for k in range(2)]
+    found = {(p.doc_id, p.other_id) for p in compact_windows.repeated_passages(frame(spark, rows)).collect()}
+    assert found == brute_passages(rows) >= links
