@@ -10,12 +10,12 @@ from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.intervals import split_components
 from strandline.operators.seeds import KEY
+from strandline.operators.steps import by_group
 
 
 @dataclass(frozen=True)
@@ -151,9 +151,9 @@ def chains(seeds: DataFrame, options: ChainOptions = ChainOptions()) -> DataFram
     size = F.sum("len").over(Window.partitionBy(*KEY, "component"))
     parts = parts.withColumn("_size", size).where(F.col("_size") >= options.min_cluster).drop("_size")
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: list[tuple]) -> list[tuple]:
         strand = key[2]
-        found = filtered(list(zip(rows["rb"], rows["qb"], rows["len"], strict=True)))
+        found = filtered([row[-3:] for row in rows])
         out = []
         for k, cluster in enumerate(clusters(found, strand, options)):
             chain = best_chain(cluster, strand)
@@ -161,6 +161,6 @@ def chains(seeds: DataFrame, options: ChainOptions = ChainOptions()) -> DataFram
             if weight >= options.min_cluster:
                 items = [{"rb": int(r), "qb": int(q), "len": int(n)} for r, q, n in chain]
                 out.append((key[0], key[1], strand, key[3] * (1 << 20) + k, min(s[0] for s in chain), max(s[0] + s[2] for s in chain), chain[0][1], chain[-1][1] + chain[-1][2], weight, items))
-        return pd.DataFrame(out, columns=["ref_id", "query_id", "strand", "chain", "rb", "re", "qb", "qe", "weight", "seeds"])
+        return out
 
-    return parts.groupBy(*KEY, "component").applyInPandas(run, CHAIN)
+    return by_group(parts.select(*KEY, "component", "rb", "qb", "len"), [*KEY, "component"], run, CHAIN)

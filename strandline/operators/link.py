@@ -1,22 +1,25 @@
 """Anchors from chains, and anchors linked across gaps that close, by components of near anchors.
 
-A component gets the stretch of both sequences that it spans and no more: chains and stretches meet in one cogroup.
+A component is one row: its chains, and the stretch of both sequences that they span and no more.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from strandline.functions import kernels
 from strandline.functions.kernels import Cigar
 from strandline.operators.chain import Seed, pruned
 from strandline.operators.intervals import split_components
 from strandline.operators.seeds import KEY
-from strandline.operators.steps import cut
+from strandline.operators.steps import cut, dealt, made, rows_of
 
 # How far anchors are linked, and how many candidates are looked at.
 REACH = 10_000
@@ -142,28 +145,29 @@ def align_chains(chains: DataFrame, reference: DataFrame, queries: DataFrame) ->
     """ALIGNMENT: linked anchors of all chains; qb and qe are on the forward query, the CIGAR follows the reference."""
     split = cut(split_components(chains, KEY, "rb", "re", REACH).select(*KEY, "component", "rb", "re", "qb", "qe", "seeds"))
     by = [*KEY, "component"]
-    extents = split.groupBy(*by).agg(F.min("rb").alias("rb"), F.max("re").alias("re"), F.min("qb").alias("qb"), F.max("qe").alias("qe"))
+    spans = [F.min("rb").alias("rb"), F.max("re").alias("re"), F.min("qb").alias("qb"), F.max("qe").alias("qe")]
+    extents = split.groupBy(*by).agg(*spans, F.array_sort(F.collect_list("seeds")).alias("chains"))
     bases = stretches(extents, reference, queries)
-    bases = bases.select(*[F.col(c).alias(c + "_") for c in bases.columns]).toDF(*bases.columns)  # columns of their own, for the cogroup
-
-    def run(key: tuple, rows: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(parts) and len(rows):
-            p = parts.iloc[0]
-            ref, size = p["ref_part"], int(p["qe"] - p["qb"])
-            query = p["query_part"] if key[2] == "+" else kernels.reverse_complement(p["query_part"])
-
-            def local(s: dict) -> Seed:
-                q = int(s["qb"] - p["qb"])
-                return int(s["rb"] - p["rb"]), (q if key[2] == "+" else size - q - int(s["len"])), int(s["len"])
-
-            kept = pruned([[local(s) for s in seeds] for seeds in rows["seeds"]])
-            anchors = [a for a in (anchor_of(c, ref, query) for c in kept) if a is not None]
-            for a in linked(anchors, ref, query):
-                cigar, score, edits = kernels.replay(a.cigar, ref[a.rb : a.re], query[a.qb : a.qe])
-                qb, qe = (a.qb, a.qe) if key[2] == "+" else (size - a.qe, size - a.qb)
-                matches = sum(n for op, n in cigar if op == "=")
-                out.append((key[0], p["rb"] + a.rb, p["rb"] + a.re, key[1], p["qb"] + qb, p["qb"] + qe, key[2], [{"op": op, "len": n} for op, n in cigar], score, edits, matches, sum(n for _, n in cigar)))
-        return pd.DataFrame(out, columns=[c.split(" ")[0] for c in ALIGNMENT.split(", ")])
-
-    return split.groupBy(*by).cogroup(bases.groupBy(*by)).applyInPandas(run, ALIGNMENT)
+    kind = to_arrow_schema(StructType.fromDDL(ALIGNMENT))
+
+    def aligned(row: tuple) -> Iterator[tuple]:
+        ref_id, query_id, strand, _, rb, _, qb, qe, chains, ref, query = row
+        size = qe - qb
+        query = query if strand == "+" else kernels.reverse_complement(query)
+
+        def local(s: dict) -> Seed:
+            q = s["qb"] - qb
+            return s["rb"] - rb, (q if strand == "+" else size - q - s["len"]), s["len"]
+
+        kept = pruned([[local(s) for s in seeds] for seeds in chains])
+        anchors = [a for a in (anchor_of(c, ref, query) for c in kept) if a is not None]
+        for a in linked(anchors, ref, query):
+            cigar, score, edits = kernels.replay(a.cigar, ref[a.rb : a.re], query[a.qb : a.qe])
+            first, last = (a.qb, a.qe) if strand == "+" else (size - a.qe, size - a.qb)
+            matches = sum(n for op, n in cigar if op == "=")
+            yield ref_id, rb + a.rb, rb + a.re, query_id, qb + first, qb + last, strand, [{"op": op, "len": n} for op, n in cigar], score, edits, matches, sum(n for _, n in cigar)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return made((out for row in rows_of(batches) for out in aligned(row)), kind)
+
+    return dealt(bases, by).mapInArrow(run, ALIGNMENT)

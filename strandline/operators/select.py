@@ -6,11 +6,10 @@ from bisect import bisect_right
 from heapq import heappop, heappush
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.steps import cut
+from strandline.operators.steps import by_group, cut
 
 #: An alignment's predecessor is among so many before it.
 WINDOW = 5_000
@@ -64,14 +63,14 @@ def weight(matches: np.ndarray, columns: np.ndarray) -> np.ndarray:
 
 
 def _one_axis(rows: DataFrame, by: str, begin: str, end: str, flag: str) -> DataFrame:
-    narrow = rows.select("aid", by, begin, end, "matches", "columns")
+    narrow = rows.select(by, begin, end, "aid", "matches", "columns")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([begin, end, "aid"])
-        kept = heaviest(group[begin].tolist(), group[end].tolist(), weight(group["matches"].to_numpy(), group["columns"].to_numpy()).tolist())
-        return pd.DataFrame({"aid": group["aid"], flag: kept})
+    def run(_: tuple, group: list[tuple]) -> list[tuple]:
+        _, begins, ends, aids, matches, columns = zip(*sorted(group), strict=True)
+        kept = heaviest(list(begins), list(ends), weight(np.array(matches), np.array(columns)).tolist()) if len(group) > 1 else [True]
+        return list(zip(aids, kept, strict=True))
 
-    return narrow.groupBy(by).applyInPandas(run, f"aid long, {flag} boolean")
+    return by_group(narrow, [by], run, f"aid long, {flag} boolean")
 
 
 def numbered(alignments: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from strandline.operators.chain import ChainOptions, chains
 from strandline.operators.link import align_chains
 from strandline.operators.mainpath import link_main_path
 from strandline.operators.select import one_to_one, with_primary
+from strandline.operators.steps import cut
 from strandline.sinks import formats, runs, validate
 from strandline.sources import index
 from strandline.sources.fasta import read_fasta
@@ -65,7 +66,7 @@ def align(reference: DataFrame, queries: DataFrame, options: Options = Options()
         raise UsageError(f"unknown selection {selection!r}")
     chosen = one_to_one(found)
     if selection == "linked":
-        chosen = link_main_path(chosen, reference, queries, options.min_match, options.chain.min_cluster).drop("members")
+        chosen = link_main_path(cut(chosen), reference, queries, options.min_match, options.chain.min_cluster).drop("members")
     return with_primary(chosen)
 
 
