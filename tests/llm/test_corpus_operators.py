@@ -485,3 +485,26 @@ def test_passages_of_later_families_under_one_key(spark, monkeypatch, small):
             rows += [(len(rows) + k, " ".join([*fresh(30), *phrase, *fresh(1), *tail, *fresh(30)])) for k in range(2)]
     found = {(p.doc_id, p.other_id) for p in compact_windows.repeated_passages(frame(spark, rows)).collect()}
     assert found == brute_passages(rows) >= links
+
+
+def test_what_the_first_text_covers_is_compared_with_what_it_does_not(spark, monkeypatch):
+    r = random.Random(4)
+    fresh = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
+    before, phrase, after = fresh(30), fresh(26), fresh(30)
+    texts = [" ".join(x) for x in ([*before, *phrase, *fresh(30)], [*before, *phrase, *after], [*fresh(30), *phrase, *after])]
+    run = compact_windows._members
+    found = pa.Table.from_batches(run(5, compact_windows.RUN)([pa.RecordBatch.from_pydict({"id": pa.array([0, 1, 2]), "text": texts})])).to_pylist()
+    # Only the keys of the phrase: the second text is covered there by its passage with the first one, the third is not.
+    shared = [k for k in {x["key"] for x in found} if {x["id"] for x in found if x["key"] == k} == {0, 1, 2}]
+
+    def of_phrase(n, least):
+        def of(batches):
+            for b in run(n, least)(batches):
+                yield b.filter(pa.array([k in shared for k in b["key"].to_pylist()]))
+
+        return of
+
+    monkeypatch.setattr(compact_windows, "_members", of_phrase)
+    assert shared
+    got = compact_windows.repeated_passages(frame(spark, list(enumerate(texts)))).collect()
+    assert {(p.doc_id, p.other_id) for p in got} == {(1, 0), (2, 1)}
