@@ -1,7 +1,7 @@
 """Links between neighbours on the main path: gaps that are empty, equal, one-sided or close to it are filled in.
 
 Neighbours on the reference are linked if they are neighbours on the query too. The plan is made with windows; only gaps that
-need an alignment go to a kernel, of those as many as the work budget admits.
+need an alignment go to a kernel, all of them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from strandline.operators.select import ORDER
 LONGEST = 10_000
 LONGEST_INEXACT = 1_000
 IDENTITY = 0.98
-WORK = 500_000_000
 #: Where an alignment is on the path.
 PLACE = ["ref_id", "ref_rank"]
 
@@ -59,29 +58,7 @@ def plan(rows: DataFrame, reference: DataFrame, queries: DataFrame, min_match: i
         .when((F.col("rn") == 0) | (F.col("qn") == 0), F.lit("one_sided"))
         .otherwise(F.lit("dp"))
     )
-    return known.withColumn("kind", kind).withColumn("work", 3 * (F.col("rn") + 1) * (F.col("qn") + 1)).withColumn("least_identity", F.least("identity", "n_identity"))
-
-
-def admitted(jobs: DataFrame, budget: int) -> DataFrame:
-    """PLACE of the jobs that fit the budget, taken by falling identity of the flanks, then rising work; one that doesn't fit is passed over.
-
-    If all of them fit, no order is needed. Else one task goes through a few numbers a job, as each depends on all admitted before.
-    """
-    if (jobs.agg(F.sum("work")).first()[0] or 0) <= budget:
-        return jobs.select(*PLACE)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left = budget
-        for rows in batches:
-            kept = []
-            for ref, rank, work in zip(rows["ref_id"], rows["ref_rank"], rows["work"], strict=True):
-                if work <= left:
-                    left -= work
-                    kept.append((ref, rank))
-            yield pd.DataFrame(kept, columns=PLACE, dtype="int64")
-
-    ordered = jobs.select(*PLACE, "work", "least_identity").where(F.col("work") <= budget).repartition(1).sortWithinPartitions(F.desc("least_identity"), "work", *PLACE)
-    return ordered.mapInPandas(run, "ref_id long, ref_rank int")
+    return known.withColumn("kind", kind).withColumn("least_identity", F.least("identity", "n_identity"))
 
 
 def _filled(min_cluster: int):
@@ -89,13 +66,12 @@ def _filled(min_cluster: int):
         for rows in batches:
             out = []
             for ref_id, rank, ref, query, least in zip(*[rows[c] for c in (*PLACE, "ref_part", "query_part", "least_identity")], strict=True):
-                found = kernels.global_alignment(ref, query)
-                if found is None:
-                    continue
-                matches = sum(n for op, n in found[0] if op == "=")
-                columns = sum(n for _, n in found[0])
+                # LONGEST_INEXACT by as many bases are within the kernel's cells, so there is a path.
+                path, _ = kernels.global_alignment(ref, query)
+                matches = sum(n for op, n in path if op == "=")
+                columns = sum(n for _, n in path)
                 if matches >= min_cluster and matches / columns >= max(IDENTITY, least):
-                    out.append((ref_id, rank, [{"op": op, "len": n} for op, n in found[0]]))
+                    out.append((ref_id, rank, [{"op": op, "len": n} for op, n in path]))
             yield pd.DataFrame(out, columns=[*PLACE, "filled"])
 
     return run
@@ -104,9 +80,7 @@ def _filled(min_cluster: int):
 def link_main_path(rows: DataFrame, reference: DataFrame, queries: DataFrame, min_match: int = 20, min_cluster: int = 65) -> DataFrame:
     """The alignments with linked neighbours made one: CIGARs joined across their gaps and scored anew, gaps that meet opened once."""
     planned = plan(rows, reference, queries, min_match, min_cluster).persist()
-    sizes = [df.agg(F.sum(F.length("bases"))).first()[0] or 0 for df in (reference, queries)]
-    jobs = planned.where("kind = 'dp'")
-    filled = jobs.join(admitted(jobs, min(WORK, *sizes)), PLACE).select(*PLACE, "ref_part", "query_part", "least_identity").mapInPandas(_filled(min_cluster), f"ref_id long, ref_rank int, filled {cigar.TYPE}")
+    filled = planned.where("kind = 'dp'").select(*PLACE, "ref_part", "query_part", "least_identity").mapInPandas(_filled(min_cluster), f"ref_id long, ref_rank int, filled {cigar.TYPE}")
     one = lambda op, n: F.array(F.struct(F.lit(op).alias("op"), n.cast("long").alias("len")))
     gap = (
         F.when(F.col("kind") == "empty", F.array().cast(cigar.TYPE))

@@ -6,6 +6,8 @@ import pytest
 from strandline.errors import IndexError_, InputError, OutputError, UnsupportedError, UsageError
 from strandline.functions.kernels import reverse_complement
 from strandline.operators.chain import best_chain, filtered
+from strandline.operators.link import ALIGNMENT
+from strandline.operators.mainpath import link_main_path
 from strandline.plans import align as plan
 from strandline.sinks import formats
 from strandline.sources import fasta, index
@@ -119,3 +121,14 @@ def test_batch_goes_on_after_a_failure(spark, tmp_path):
 def test_options():
     with pytest.raises(UsageError):
         plan.Options(mode="other")
+
+
+def test_all_gaps_of_the_main_path_are_filled(spark):
+    # Each gap is 200 by 200 bases, so aligning both is far more work than the sequences have bases.
+    changed = (100, 200, 400, 600, 700, 900, 1100, 1200)
+    query = "".join(OTHER[b] if i in changed else b for i, b in enumerate(REF[:1300]))
+    part = lambda b, e: [("=", 100), ("X", 1), ("=", 99), ("X", 1), ("=", e - b - 201)]
+    rows = [(0, b, e, 0, b, e, "+", [{"op": o, "len": n} for o, n in part(b, e)], 0, 2, e - b - 2, e - b) for b, e in ((0, 300), (500, 800), (1000, 1300))]
+    found = spark.createDataFrame(rows, ALIGNMENT)
+    linked = link_main_path(found, frame(spark, "r", REF[:1300]), frame(spark, "q", query)).collect()
+    assert [(r.rb, r.re, r.members, r.edits, r.matches) for r in linked] == [(0, 1300, 3, 8, 1292)]
