@@ -508,3 +508,45 @@ def test_what_the_first_text_covers_is_compared_with_what_it_does_not(spark, mon
     assert shared
     got = compact_windows.repeated_passages(frame(spark, list(enumerate(texts)))).collect()
     assert {(p.doc_id, p.other_id) for p in got} == {(1, 0), (2, 1)}
+
+
+def test_a_family_that_the_first_text_does_not_cover_is_joined_without_all_its_pairs(spark, monkeypatch):
+    run = compact_windows._members
+
+    def one_key(n, least):
+        def of(batches):
+            for b in run(n, least)(batches):
+                yield b.set_column(0, "key", pa.array(np.zeros(b.num_rows, np.int64)))
+
+        return of
+
+    monkeypatch.setattr(compact_windows, "_members", one_key)
+    r = random.Random(23)
+    fresh = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
+    families = [fresh(70) for _ in range(3)]
+    # The first text has no passage with any; one family is joined to another by one text only.
+    rows = [(0, " ".join(fresh(90)))] + [(k, " ".join([*fresh(3), *families[k % 3], *fresh(3)])) for k in range(1, 91)]
+    rows.append((91, " ".join([*families[0], *families[1]])))
+    found = {(p.doc_id, p.other_id) for p in compact_windows.repeated_passages(frame(spark, rows)).collect()}
+    assert {b for b, _ in found} == set(range(4, 92)) and len(found) < 3 * len(rows)
+    root = list(range(92))
+    for b, a in sorted(found):
+        root = [root[a] if x == root[b] else x for x in root]
+    assert len({root[k] for k in range(1, 92) if k % 3 != 2}) == 1 and len({root[k] for k in range(1, 91)}) == 2
+
+
+def test_runs_that_may_be_passages_are_kept():
+    r = np.random.default_rng(8)
+    # Codes of 200 shingles, 200 is foreign; every run of 46 or more that begins and ends as the scores ask for is seen, also those that go on beyond a part.
+    for _ in range(300):
+        parts = [np.where(r.random(k) < r.choice([0.7, 0.85, 0.95]), r.integers(0, 60, k), r.integers(60, 201, k)) for k in r.integers(50, 160, 6)]
+        parts[0] = np.arange(60)
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        goes_on = np.zeros((6, 2), bool)
+        within = np.array([[len(x), 0] for x in parts])
+        b = np.arange(1, 6)
+        got = compact_windows.dense(np.concatenate(parts), bounds, goes_on, within, np.zeros(5, int), b, 200, 46, 0.8)
+        for k in b.tolist():
+            total = np.concatenate([[0], np.cumsum(np.where(parts[k] < 60, 1, -4))])
+            spans = [(s, e) for s in range(len(total)) for e in range(s + 46, len(total)) if total[s] <= total[s : e + 1].min() and total[e] >= total[s : e + 1].max()]
+            assert bool(got[k - 1]) == bool(spans)
